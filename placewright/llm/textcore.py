@@ -1,4 +1,4 @@
-"""Vectorised word splitting and hashing over Arrow string buffers.
+r"""Vectorised word splitting and hashing over Arrow string buffers.
 
 A word is a maximal run of bytes outside ``\x20 \x09-\x0D``.  Hashes are
 polynomial in Z/2^64 over per-byte random values and then mixed, so that one
