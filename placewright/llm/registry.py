@@ -6,10 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe
+from . import byte_bpe, html_text, language_id, quality_rules, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_language_id": language_id.op3_language_id,
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
+    "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op8_html_text": html_text.op8_html_text,
+    "op10_url_filter": url_filter.op10_url_filter,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_quality_rules": quality_rules.SQL,
+    "op10_url_filter": url_filter.SQL,
+}
