@@ -162,19 +162,19 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _verdict_sql() -> str:
     boiler = " or ".join(f"contains(lower(x), '{p}')" for p in PHRASES)
     spaces = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
-    split = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), v -> v <> '')"
+    split = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda v: v <> '')"
     nw = f"len({split.format('x')})"
-    bars = f"len(list_filter({split.format('x')}, v -> v = '|'))"
+    bars = f"len(list_filter({split.format('x')}, lambda v: v = '|'))"
     return f"""
     with base as (
       select doc_id, coalesce(text, '') as t from documents
     ), worded as (
       select doc_id, t, {split.format('t')} as w,
-             list_filter(string_split(t, chr(10)), x -> length(translate(x, {spaces}, '')) > 0) as lines
+             list_filter(string_split(t, chr(10)), lambda x: length(translate(x, {spaces}, '')) > 0) as lines
       from base
     ), lined as (
-      select *, list_filter(list_transform(range(1, len(lines) + 1), i -> case when list_position(lines, lines[i]) = i then lines[i] end), x -> x is not null) as own,
-             case when len(w) >= 3 then list_transform(range(1, len(w) - 1), i -> w[i] || chr(31) || w[i + 1] || chr(31) || w[i + 2]) else [] end as tri
+      select *, list_filter(list_transform(range(1, len(lines) + 1), lambda i: case when list_position(lines, lines[i]) = i then lines[i] end), lambda x: x is not null) as own,
+             case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: w[i] || chr(31) || w[i + 1] || chr(31) || w[i + 2]) else [] end as tri
       from worded
     ), tris as (
       select rowid_ as r, unnest(tri) as g, generate_subscripts(tri, 1) as i from (select row_number() over () as rowid_, * from lined)
@@ -184,7 +184,7 @@ def _verdict_sql() -> str:
     ), cover as (
       select r, count(distinct p) as n from (select r, unnest([i, i + 1, i + 2]) as p from again where c >= 2) group by r
     ), good as (
-      select *, list_filter(own, x -> not (
+      select *, list_filter(own, lambda x: not (
             (regexp_matches(x, '[A-Z]') and not regexp_matches(x, '[a-z]') and {nw} >= 3)
          or ((length(x) - length(translate(x, '{SYMBOLS}', ''))) * 10 >= {nw} * 3)
          or ({nw} >= 3 and {bars} * 4 >= {nw})
@@ -197,8 +197,8 @@ def _verdict_sql() -> str:
              cast(length(t) - length(translate(t, '{SYMBOLS}', '')) as bigint) as n_symbols,
              cast(len(lines) - len(own) as bigint) as n_dup_lines,
              cast(coalesce(cover.n, 0) as bigint) as n_repeat_words,
-             coalesce(list_sum(list_transform(lines, x -> length(x))), 0) as all_chars,
-             coalesce(list_sum(list_transform(fine, x -> length(x))), 0) as good_chars
+             coalesce(list_sum(list_transform(lines, lambda x: length(x))), 0) as all_chars,
+             coalesce(list_sum(list_transform(fine, lambda x: length(x))), 0) as good_chars
       from good left join cover on cover.r = good.rowid_
     )
     select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,

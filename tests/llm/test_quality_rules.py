@@ -5,7 +5,7 @@ from placewright.llm import quality_rules as Q
 from . import duck
 
 SF = "/root/testdata/sf0.001"
-CLEAN = "\n".join(f"Line number {i} of this text says something new about item {i * 7}, and ends well." for i in range(12))
+CLEAN = "\n".join(" ".join(f"w{i}x{k}" for k in range(9)) + f", and {i} ends." for i in range(12))
 TEXTS = [
     None,
     "",
