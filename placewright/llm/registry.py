@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, html_text, language_id, quality_rules, url_filter
+from . import byte_bpe, decontaminate, html_text, language_id, near_dedup, quality_rules, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": language_id.op3_language_id,
+    "op4_near_dedup": near_dedup.op4_near_dedup,
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op8_html_text": html_text.op8_html_text,
