@@ -29,7 +29,6 @@ from .storage import id_and_text, table
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MAX_LOST_PERCENT = 50
-SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 # Phrases of licence and site boilerplate, matched in any case.
@@ -49,18 +48,21 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, WORD_GAP), "")
 
 
-def _count_of(chars: str, text: Column) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+def _symbols(text: Column) -> Column:
+    return F.regexp_count(text, F.lit("[#*$%&|<>]"))
 
 
-def line_fails(line: Column) -> Column:
-    """Whether one line (with a word) breaks a rule by itself."""
-    n = F.size(words(line))
-    bars = n - F.size(F.array_remove(words(line), "|"))
-    low = F.lower(line)
-    shouts = line.rlike("[A-Z]") & ~line.rlike("[a-z]") & (n >= 3)
-    laden = _count_of(SYMBOLS, line) * 10 >= n * 3
-    menu = (n >= 3) & (bars * 4 >= n)
+def described(line: Column) -> Column:
+    """A line with what its rules read more than once."""
+    return F.struct(line.alias("line"), F.lower(line).alias("low"), F.size(words(line)).alias("n"))
+
+
+def line_fails(x: Column) -> Column:
+    """Whether one described line (with a word) breaks a rule by itself."""
+    line, low, n = x["line"], x["low"], x["n"]
+    shouts = (n >= 3) & line.rlike("[A-Z]") & ~line.rlike("[a-z]")
+    laden = line.rlike("[#*$%&|<>]") & (_symbols(line) * 10 >= n * 3)
+    menu = (n >= 3) & line.contains("|") & ((n - F.size(F.array_remove(words(line), "|"))) * 4 >= n)
     unpunctuated = (n >= 8) & ~line.rlike("[.!?:;…]")
     boiler = F.lit(False)
     for phrase in PHRASES:
@@ -76,14 +78,13 @@ def _repeat_words(w: Column) -> Column:
     and each covers up to three words, fewer where the next one overlaps.
     """
     n = F.size(w)
-    keyed = F.sort_array(
+    return F.sort_array(
         F.zip_with(
             F.zip_with(F.slice(w, 1, n - 2), F.slice(w, 2, n - 2), lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
             F.zip_with(F.slice(w, 3, n - 2), F.sequence(F.lit(0), n - 3), lambda c, i: F.struct(c.alias("c"), i.alias("i"))),
             lambda x, y: F.struct(F.xxhash64(x["a"], x["b"], y["c"]).alias("h"), y["i"].alias("i")),
         )
     )
-    return keyed
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -116,13 +117,13 @@ def measures(docs: DataFrame) -> DataFrame:
     )
     gaps = F.zip_with(F.slice("at", 1, F.size("at") - 1), F.slice("at", 2, F.size("at") - 1), lambda a, b: F.least(b - a, F.lit(3)))
     covered = F.when(F.size("at") == 0, F.lit(0)).otherwise(F.aggregate(gaps, F.lit(3), lambda s, x: s + x))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     df = df.select(
         "doc_id",
         "text",
         "n_words",
-        F.length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
-        _count_of(SYMBOLS, text).cast("long").alias("n_symbols"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        _symbols(text).cast("long").alias("n_symbols"),
         covered.cast("long").alias("n_repeat_words"),
         lines.alias("lines"),
     )
@@ -133,7 +134,7 @@ def measures(docs: DataFrame) -> DataFrame:
 def judge(docs: DataFrame) -> DataFrame:
     """Measures and verdict of every document, with the text of its good lines."""
     df = measures(docs)
-    df = df.withColumn("good_lines", F.filter("own_lines", lambda x: ~line_fails(x)))
+    df = df.withColumn("seen", F.transform("own_lines", described)).withColumn("good_lines", F.transform(F.filter("seen", lambda x: ~line_fails(x)), lambda x: x["line"]))
 
     def chars(name: str) -> Column:
         return F.aggregate(name, F.lit(0).cast("long"), lambda s, x: s + F.length(x))
