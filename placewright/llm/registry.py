@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, html_text, language_id, near_dedup, quality_rules, secret_scan, substring_dedup, url_filter
+from . import byte_bpe, decontaminate, html_text, kneser_ney, language_id, near_dedup, quality_rules, secret_scan, substring_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": kneser_ney.op1_quality_classifier,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_language_id": language_id.op3_language_id,
     "op4_near_dedup": near_dedup.op4_near_dedup,
