@@ -8,8 +8,9 @@ Windows as long as the item are embedded by CGK random walks: a walk reads the
 word under its pointer, writes it, and moves on or stays by a random bit of the
 word and the step.  Edit distance becomes Hamming distance, and bit sampling
 (``BITS`` sampled steps of one walk, ``WALKS`` walks) finds pairs that agree on
-all sampled steps of at least one walk.  Every pair found is verified by the exact
-banded edit distance of the item to the text around the window.
+all sampled steps of at least one walk.  Where a window is found, the exact edit
+distance of the item to the runs around it decides, once for the windows of one
+place.
 
 Before the embedding, windows that cannot match are passed over by a filter that
 loses none: a run within k edits of an item holds all but k of the item's seed
@@ -46,41 +47,46 @@ from .storage import table
 MAX_EDIT = 0.2
 BITS = 2
 WALKS = 256
+TURNS = (range(0, 16), range(16, WALKS))  # most matches are met in the first walks
 BLOCK_WORDS = 1_000_000
 RARE_ITEMS = 2
 SCHEMA = "start_word int, n_words int, distance int"
 
 
-def walk(words: np.ndarray, steps: int, seed: int) -> np.ndarray:
-    """CGK embedding of rows of word hashes: what is written at each step.
+def walks(words: np.ndarray, starts: np.ndarray, steps: int, seeds: range) -> np.ndarray:
+    """CGK embeddings of the strings of ``words`` (hashes) that begin at ``starts``.
 
-    ``words`` has one row per string; beyond a row's end the pointer reads 0.
+    One row per start, one column per walk and step: the place in ``words`` that
+    is read at that step.  The random bit of a word at a step is bit ``step % 64``
+    of a hash of the word, the walk and ``step // 64``; past the end a walk stays.
     """
-    rows, width = words.shape
-    at = np.zeros(rows, np.int64)
-    out = np.zeros((rows, steps), np.uint64)
-    line = np.arange(rows)
+    width = len(seeds)
+    salts = X.mix(np.array([[seed * 8 + k for seed in seeds] for k in range(steps // 64 + 1)], np.uint64), 31)
+    bits = np.zeros((len(salts), len(words) + 1, width), np.uint64)
+    bits[:, :-1] = X.mix(words[None, :, None] ^ salts[:, None, :], 32)
+    # the state of a walk is the place in a (word, walk) table; a row further is ``width`` on
+    at = (np.repeat(starts[:, None], width, 1) * width + np.arange(width)).reshape(-1)
+    out = np.empty((steps, len(at)), np.int32)
     for t in range(steps):
-        inside = at < width
-        read = np.where(inside, words[line, np.minimum(at, width - 1)], np.uint64(0))
-        out[:, t] = read
-        at += (X.mix(read, seed * 1009 + t) >> np.uint64(63)).astype(np.int64) & inside
-    return out
-
-
-def sampled_agree(item: np.ndarray, windows: np.ndarray, walks: int = WALKS, bits: int = BITS) -> np.ndarray:
-    """Which rows of ``windows`` share all sampled steps of a walk with ``item``."""
-    found = np.zeros(len(windows), bool)
-    n = windows.shape[1]
-    for start in range(0, walks, 16):
-        left = np.flatnonzero(~found)
-        if not len(left):
-            break
-        for seed in range(start, min(walks, start + 16)):
-            steps = np.sort(np.random.default_rng((seed, n)).choice(2 * n, min(bits, 2 * n), replace=False))
-            both = walk(np.vstack([item[None, :n], windows[left]]), int(steps[-1]) + 1, seed)[:, steps]
-            found[left] |= (both[1:] == both[0]).all(1)
-    return found
+        out[t] = at
+        onward = ((bits[t // 64] >> np.uint64(t % 64)) & np.uint64(1)).astype(np.int32).reshape(-1) * width
+        at = at + onward[at]
+    return np.moveaxis(out.reshape(steps, len(starts), width) // width, 0, 2)
+
+
+def sampled_agree(item: np.ndarray, text: np.ndarray, starts: np.ndarray, seeds: range, bits: int = BITS) -> np.ndarray:
+    """Which windows of ``text`` (item-sized, at ``starts``) share all sampled steps of a walk with ``item``."""
+    n = len(item)
+    size = min(bits, 2 * n)
+    steps = np.array([np.sort(np.random.default_rng((seed, n)).choice(2 * n, size, replace=False)) for seed in seeds])
+    most = int(steps.max()) + 1
+    pick = np.broadcast_to(steps[None], (1, *steps.shape))
+    own = np.take_along_axis(walks(item, np.zeros(1, np.int64), most, seeds), pick, 2)
+    theirs = np.take_along_axis(walks(text, starts, most, seeds), np.broadcast_to(steps[None], (len(starts), *steps.shape)), 2)
+    pad_item, pad_text = np.append(item, np.uint64(0)), np.append(text, np.uint64(0))
+    inside = theirs < starts[:, None, None] + n
+    read = np.where(inside, pad_text[np.minimum(theirs, len(text))], np.uint64(0))
+    return (read == pad_item[np.minimum(own, n)]).all(2).any(1)
 
 
 def best_run(item: np.ndarray, text: np.ndarray, k: int) -> tuple[int, int, int] | None:
@@ -182,20 +188,18 @@ class Items:
         for t, j, a, b in self.candidates(words):
             item, k = self.words[j], self.edits[j]
             n, lo, hi = len(item), int(words.first[t]), int(words.first[t + 1])
-            a, b = max(a, lo), min(max(b, lo), hi - 1)
-            starts = np.arange(a, b + 1)
-            at = starts[:, None] + np.arange(n)
-            windows = np.where(at < hi, words.hash[np.minimum(at, len(words.hash) - 1)], np.uint64(0))
-            near = starts[sampled_agree(item, windows)] if len(starts) else starts
-            done = -1
-            for s in near:
-                if s < done:
+            text = words.hash[lo:hi]
+            todo = [(max(a - lo, 0), min(max(b, lo), hi - 1) - lo)]
+            while todo:
+                a, b = todo.pop()
+                base = max(0, a - k)
+                region = text[base : b + n + k]
+                if not any(sampled_agree(item, region, np.arange(a, b + 1) - base, turn).any() for turn in TURNS):
                     continue
-                base = max(lo, int(s) - k)
-                run = best_run(item, words.hash[base : min(hi, int(s) + n + k)], k)
+                run = best_run(item, region, k)
                 if run:
-                    yield t, j, base + run[0] - lo, run[1] - run[0], run[2]
-                    done = base + run[1]
+                    yield t, j, base + run[0], run[1] - run[0], run[2]
+                    todo += [(x, y) for x, y in ((a, base + run[0] - n), (base + run[1], b)) if x <= y]
 
 
 def _blocks(items: DataFrame) -> Iterator[Items]:
