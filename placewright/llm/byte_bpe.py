@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import pyspark.sql.types as T
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import id_and_text, table
@@ -213,14 +213,18 @@ def decode(ids: DataFrame, path: str) -> DataFrame:
     return ids.select("doc_id", "ids").mapInArrow(run, BYTES)
 
 
-def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """The digest columns of the contract, from the operator's own outputs."""
-    return decode(encode(docs, path, pattern), path).select(
-        "doc_id",
+def digest_columns() -> list[Column]:
+    """n_tokens, ids_sha256 and decoded_sha256 from the columns ids and decoded."""
+    return [
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    ]
+
+
+def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """The digest columns of the contract, from the operator's own outputs."""
+    return decode(encode(docs, path, pattern), path).select("doc_id", *digest_columns())
 
 
 def public_vocabulary() -> tuple[str, str]:

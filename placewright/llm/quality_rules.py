@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import id_and_text, table
+from .storage import table
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -88,10 +88,11 @@ def _repeat_words(w: Column) -> Column:
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """doc_id and text with the base measures of the contract."""
+    """doc_id, text and the whole row with the base measures of the contract."""
     text = F.coalesce(F.col("text"), F.lit(""))
     no_at = F.array().cast("array<int>")
-    df = id_and_text(docs).withColumn("w", words(text))
+    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct("*").alias("row"))
+    df = df.withColumn("w", words(text))
     df = df.withColumn("n_words", F.size("w").cast("long"))
     df = df.withColumn("keyed", F.when(F.col("n_words") >= 4, _repeat_words(F.col("w"))))
     n = F.size("keyed")
@@ -126,6 +127,7 @@ def measures(docs: DataFrame) -> DataFrame:
         _symbols(text).cast("long").alias("n_symbols"),
         covered.cast("long").alias("n_repeat_words"),
         lines.alias("lines"),
+        "row",
     )
     df = df.withColumn("own_lines", F.array_distinct("lines"))
     return df.withColumn("n_dup_lines", (F.size("lines") - F.size("own_lines")).cast("long"))
@@ -152,12 +154,22 @@ def judge(docs: DataFrame) -> DataFrame:
         "n_repeat_words",
         base.alias("base_failed"),
         kept.alias("kept"),
-        F.array_join("good_lines", "\n").alias("clean_text"),
+        F.when(F.col("good_chars") == F.col("all_chars"), F.col("text")).otherwise(F.array_join("good_lines", "\n")).alias("clean_text"),
+        "row",
     )
 
 
+def clean(docs: DataFrame) -> DataFrame:
+    """The rows that are kept, in the columns of ``docs``, without their failed lines.
+
+    A text that loses no line stays as it is; n_chars, if there, counts the new text.
+    """
+    new = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
+    return judge(docs).filter("kept").select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents")).drop("text", "clean_text")
+    return judge(table(spark, sf_dir, "documents")).drop("text", "clean_text", "row")
 
 
 def _verdict_sql() -> str:

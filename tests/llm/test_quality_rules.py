@@ -30,7 +30,7 @@ def test_against_sql_on_the_table(spark):
 def test_against_sql_on_odd_texts(spark):
     frame = pd.DataFrame({"doc_id": [*range(len(TEXTS)), 3, None], "text": [*TEXTS, TEXTS[3], "x y"]}).astype({"doc_id": "Int64"})
     docs = spark.createDataFrame([(None if pd.isna(i) else int(i), t, 5, "w") for i, t in zip(frame.doc_id, frame.text)], "doc_id long, text string, n_words int, lines string")
-    got = duck.spark_rows(Q.judge(docs).drop("text", "clean_text"))
+    got = duck.spark_rows(Q.judge(docs).drop("text", "clean_text", "row"))
     assert got == duck.rows(Q.SQL, documents=frame)
     kept = {r.doc_id: r.kept for r in Q.judge(docs).collect()}
     assert kept[3] and kept[4] and not any(kept[i] for i in (0, 1, 2, 5, 6, 7, 8, 9))
@@ -56,3 +56,11 @@ def test_empty_table(spark):
 def test_no_python_in_the_plan(spark):
     plan = Q.op6_quality_rules(spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_clean_rows(spark):
+    docs = spark.createDataFrame([(i, t, "en", "s", -1) for i, t in enumerate(TEXTS)], "doc_id long, text string, lang string, row string, n_chars long")
+    got = {r.doc_id: r for r in Q.clean(docs).collect()}
+    assert Q.clean(docs).columns == docs.columns
+    assert got[3].text == CLEAN and got[4].text == CLEAN and got[4].n_chars == len(CLEAN) and got[4].row == "s"
+    assert 0 not in got and 6 not in got
