@@ -12,14 +12,15 @@ Copies are not expanded into pairs.  First every class meets the most central
 member of its nodes (the one with most company over all trees); links confirmed
 on the full sets give a first labelling.  Then only nodes that still hold several
 labels branch on and are compared exhaustively, leaving out pairs that are linked
-already.  A node that stays large at ``DEPTH`` is compared in blocks, all against
-all, so nothing is capped.
+already.  A large node that keeps over half of its parent's members holds copies
+that no token tells apart; it is compared in blocks, all labels against all, so
+nothing is capped.
 
 Links are confirmed on full sets: 100 * intersection >= 75 * union, on 64-bit
 shingle hashes.  A sketch only rules out pairs that agree in under half of the
 positions, which a pair at the threshold does with probability 2e-6.  A pair at
 the threshold shares none of the ``LEAVES`` trees at their first level with
-probability 0.25 ** 12 = 6e-8.
+probability 0.25 ** 8 = 1.5e-5.
 
 Defined cases: null or empty texts and texts without words have an empty set,
 link with nothing and are their own component; texts under five words are one
@@ -46,9 +47,9 @@ SHINGLE = 5
 PERCENT = 75
 POSITIONS = 64
 TREES = 16
-LEAVES = 12
+LEAVES = 8
 SMALL = 48
-DEPTH = 16
+BLOCK = 512
 MIN_AGREE = POSITIONS // 2
 STARS = 3
 
@@ -200,34 +201,45 @@ def _branch(rows: DataFrame, classes: DataFrame, level: int) -> DataFrame:
     child = [F.xxhash64("node", F.lit(i), F.col("tokens")[where[i]]) for i in range(2)]
     two = F.pmod(F.xxhash64("node", F.lit(level), F.lit(2)), F.lit(3)) == 0
     return (
-        rows.select("class", "label", "node")
+        rows.select("class", "label", "node", "size")
         .join(classes.select("class", "tokens"), "class")
-        .select("class", "label", F.explode(F.when(two, F.array(*child)).otherwise(F.array(child[0]))).alias("node"))
+        .select("class", "label", F.col("size").alias("parent"), F.explode(F.when(two, F.array(*child)).otherwise(F.array(child[0]))).alias("node"))
     )
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
-    """Nodes that stay large, as nodes of two blocks each: all meet all."""
-    n = F.ceil(F.col("size") / SMALL).cast("int")
-    own = F.pmod(F.xxhash64("class"), n).cast("int")
-    pair = F.transform(F.sequence(F.lit(0), n - 1), lambda o: F.xxhash64("node", F.least(own, o), F.greatest(own, o)))
-    return rows.select("class", "label", F.explode(pair).alias("node"))
+    """Nodes that stay large, as nodes of two blocks each: all labels meet.
+
+    The members of a node's largest label are linked with each other already, so
+    they are dealt to blocks of their own, which only meet those of the others.
+    """
+    sizes = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.max(F.struct("n", "label")).alias("most"))
+    df = rows.join(sizes, "node")
+    major = F.greatest(F.ceil(F.col("most.n") / BLOCK), F.lit(1)).cast("int")
+    minor = F.greatest(F.ceil((F.col("size") - F.col("most.n")) / BLOCK), F.lit(1)).cast("int")
+    in_major = F.col("label") == F.col("most.label")
+    own = F.when(in_major, F.pmod(F.xxhash64("class"), major)).otherwise(major + F.pmod(F.xxhash64("class"), minor)).cast("int")
+    others = F.sequence(F.when(in_major, major).otherwise(F.lit(0)), major + minor - 1)
+    pair = F.transform(others, lambda o: F.xxhash64("node", F.least(own, o), F.greatest(own, o)))
+    return df.select("class", "label", F.explode(pair).alias("node"))
 
 
 def _leaves(classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """(class, label, node) of small nodes that hold several labels, over all levels."""
-    rows = _roots(classes, LEAVES).join(labels, "class", "left").select("class", F.coalesce("label", "class").alias("label"), "node")
+    """(class, label, node) of the nodes to compare exhaustively, over all levels."""
+    roots = _roots(classes, LEAVES).join(labels, "class", "left")
+    rows = roots.select("class", F.coalesce("label", "class").alias("label"), F.lit(1 << 62).alias("parent"), "node")
     out, level = None, 0
     while True:
         rows = stash(_mixed(rows), "mixed")
         small = rows.filter(F.col("size") <= SMALL).select("class", "label", "node")
         out = small if out is None else out.unionByName(small)
         large = rows.filter(F.col("size") > SMALL)
+        dense = F.col("size") * 2 > F.col("parent")
+        out = out.unionByName(_mixed(_blocks(large.filter(dense))).select("class", "label", "node"))
+        large = large.filter(~dense)
         if large.isEmpty():
             return out
         level += 1
-        if level > DEPTH:
-            return out.unionByName(_mixed(_blocks(large)).select("class", "label", "node"))
         rows = _branch(large, classes, level)
 
 
@@ -265,22 +277,39 @@ def _involved(leaves: DataFrame, classes: DataFrame) -> DataFrame:
     return lists.select("members").mapInArrow(run, "class long, label long, node long").distinct()
 
 
+def _linked(sets: list[np.ndarray], step: int = 4096) -> np.ndarray:
+    """Matrix of the linked pairs: exact intersections as products of incidence matrices.
+
+    Only shingles of two sets or more can be shared; their columns are taken
+    ``step`` at a time.
+    """
+    size = np.array([len(x) for x in sets], np.float64)
+    names, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = X.owner_of(size.astype(np.int64))
+    place = np.cumsum(count > 1) - 1
+    shared = count[column] > 1
+    row, column = row[shared], place[column[shared]]
+    both = np.zeros((len(sets), len(sets)))
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        a, b = np.searchsorted(column, [low, low + step])
+        part = np.zeros((len(sets), step), np.float32)
+        part[row[a:b], column[a:b] - low] = 1
+        both += part @ part.T
+    return 100 * both >= PERCENT * (size[:, None] + size[None, :] - both)
+
+
 def _confirm_leaves(involved: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) between labels, from exhaustive comparison inside each leaf."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for members in batch.column("members"):
-                rows = members.as_py()
-                sets, label = _sets([r["text"] for r in rows]), [r["label"] for r in rows]
-                links = []
-                for i in range(len(rows)):
-                    for j in range(i):
-                        if label[i] != label[j] and 4 * min(len(sets[i]), len(sets[j])) >= 3 * max(len(sets[i]), len(sets[j])) and _similar(sets[i], sets[j]):
-                            links.append((rows[i]["label"], rows[j]["label"]))
-                            old, new = label[i], label[j]
-                            label = [new if x == old else x for x in label]
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in range(2)], ["a", "b"])
+                label = members.values.field("label").to_numpy(zero_copy_only=False)
+                i, j = np.nonzero(_linked(_sets(members.values.field("text").to_pylist())))
+                pairs = np.unique(np.stack([label[i], label[j]], 1)[label[i] < label[j]], axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in range(2)], ["a", "b"])
 
     lists = involved.join(texts, "class").groupBy("node").agg(F.collect_list(F.struct("class", "label", "text")).alias("members"))
     return lists.select("members").mapInArrow(run, "a long, b long")
@@ -304,17 +333,44 @@ def label_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return all_labels.join(above, "label", "left").select("class", F.coalesce("top", "label").alias("label"))
 
 
-def group(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
+def named_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, n, label) of every row of ``docs``; label names its component."""
     rows = stash(sketches(docs), "sketches")
     classes = stash(classes_of(rows), "classes")
     labels = stash(label_classes(docs, classes), "labels")
-    named = rows.select("doc_id", "n", "class").join(labels, "class", "left").select("doc_id", "n", F.coalesce("label", "class").alias("label"))
+    return rows.select("doc_id", "key", "n", "class").join(labels, "class", "left").select("doc_id", "key", "n", F.coalesce("label", "class").alias("label"))
+
+
+def group(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
+    named = named_rows(docs).drop("key")
     linked = named.filter("n > 0")
     least = linked.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     out = linked.join(least, "label").select("doc_id", "n", "component_id").unionByName(named.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component (its least doc_id, nulls last); all columns stay.
+
+    Rows with an empty set stay.  Of repeated rows one stays.
+    """
+    named = stash(named_rows(docs), "named")
+    full = named.filter("n > 0")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("one")
+    chosen = stash(full.groupBy("label").agg(first).select("one.doc_id", "one.key"), "chosen")
+    repeated = full.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    stay = chosen.unionByName(named.filter("n = 0").select("doc_id", "key").distinct())
+    # names of the join's columns that no column of ``docs`` has
+    stay = stay.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"))
+    own = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__key"))
+    out = docs.join(stay, own, "left_semi")
+    if repeated.isEmpty():
+        return out
+    twice = repeated.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"))
+    some = out.join(twice, own, "left_semi").dropDuplicates(["doc_id", "text"])
+    return out.join(twice, own, "left_anti").unionByName(some)
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group(table(spark, sf_dir, "documents"))

@@ -48,7 +48,7 @@ def test_table_against_brute_force(spark):
 @pytest.mark.parametrize("small", [48, 4])
 def test_groups_at_the_threshold(spark, small, monkeypatch):
     monkeypatch.setattr(N, "SMALL", small)
-    monkeypatch.setattr(N, "DEPTH", 3)
+    monkeypatch.setattr(N, "BLOCK", 8)
     rng = random.Random(4)
     vocab = [f"w{i}" for i in range(400)]
     texts = []
