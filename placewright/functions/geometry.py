@@ -115,7 +115,7 @@ def ray_error(ox: Column, oy: Column, dx: Column, dy: Column, tx: Column, ty: Co
     inf = F.lit(float("inf"))
     ahead = (along > 0) & (far > 0)
     return F.struct(
-        F.when(ahead, F.degrees(F.acos(F.greatest(lit(-1), F.least(lit(1), along / far))))).otherwise(inf).alias("angle"),
+        F.when(ahead, F.degrees(F.acos(F.greatest(lit(-1), F.least(lit(1), F.try_divide(along, far)))))).otherwise(inf).alias("angle"),
         F.when(ahead, F.abs(vx * dy - vy * dx)).otherwise(inf).alias("lateral"),
         far.alias("distance"),
     )
@@ -221,7 +221,7 @@ def ring_area(points: Column) -> Column:
 
 def crosses_upward(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """Whether a ray to the right of the point crosses an edge (even-odd rule)."""
-    return ((y1 > py) != (y2 > py)) & (px < (x2 - x1) * (py - y1) / (y2 - y1) + x1)
+    return ((y1 > py) != (y2 > py)) & F.coalesce(px < F.try_divide((x2 - x1) * (py - y1), y2 - y1) + x1, F.lit(False))
 
 
 def in_ring(px: Column, py: Column, points: Column) -> Column:

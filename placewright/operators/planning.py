@@ -52,7 +52,7 @@ def alley(guides: DataFrame, spacing: float, rows: int = 1, phase: float = 0.0)
     offsets = [0.0] if rows == 1 else [-spacing / 2, spacing / 2]
     n = F.floor(graph.length_of() / spacing - phase).cast("int")
     df = guides.filter(n >= 0).withColumn("k", F.explode(F.sequence(F.lit(0), n))).withColumn("off", F.explode(F.array(*map(F.lit, offsets))))
-    ux, uy = (F.col("x2") - F.col("x1")) / graph.length_of(), (F.col("y2") - F.col("y1")) / graph.length_of()
+    ux, uy = F.try_divide(F.col("x2") - F.col("x1"), graph.length_of()), F.try_divide(F.col("y2") - F.col("y1"), graph.length_of())
     at = (F.col("k") + phase) * spacing
     return df.withColumn("x", F.col("x1") + ux * at - uy * F.col("off")).withColumn("y", F.col("y1") + uy * at + ux * F.col("off"))
 
