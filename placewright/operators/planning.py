@@ -210,7 +210,7 @@ def optimize_layouts(options: DataFrame, conflicts: DataFrame, max_count: int) -
     found is returned as FEASIBLE.
     """
     weighted = options.withColumn("weight", F.greatest(F.lit(1), (F.round(F.col("score") * 100) + 100 * F.col("n")).cast("int")))
-    edges = conflicts.join(options.select(F.col("option_id").alias("a"), "site"), "a").select("site", "a", "b")
+    edges = conflicts.join(options.select(F.col("option_id").alias("a"), F.col("site").alias("at_site")), "a").select(F.col("at_site").alias("site"), "a", "b")
 
     def solve(own: pd.DataFrame, bad: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("option_id").reset_index(drop=True)

@@ -139,7 +139,7 @@ def isolated_points(spark, sf):
     f"""with {A.PTS}, near as (select a.id as a, b.id as b, a.kind from pts a join pts b on a.id < b.id and a.kind = b.kind and abs(a.x-b.x) <= 8.1 and abs(a.y-b.y) <= 8.1 and sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)) <= 8.1 + 1e-7),
     met as (select a as id from near union select b from near)
     select kind, count(*) as n, coalesce(max(p.pairs), 0) as pairs, cast(count(*) filter (where met.id is null) as bigint) as isolated,
-      round(count(*) + 1.1 * coalesce(max(p.pairs), 0) - 1.5 * count(*) filter (where met.id is null) - 1.5, 4) as tree_score
+      round(count(*) + 1.1 * coalesce(max(p.pairs), 0) - 1.5 * count(*) filter (where met.id is null) - 1.5, 4)::double as tree_score
     from pts left join met using (id) left join (select kind, count(*) as pairs from near group by 1) p using (kind) group by 1""",
 )
 def composition_neighbours(spark, sf):

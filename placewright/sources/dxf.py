@@ -2,8 +2,9 @@
 
 ``spark.read.format("dxf").option("path", glob)`` gives one row per entity of the
 BLOCKS and ENTITIES sections: file, section, block, type, layer, handle, color and
-the group-code pairs.  One partition per file.  Filters on section, layer and type
-are pushed into the scan.  A value that is no UTF-8 is read as Windows-1251.
+the group-code pairs.  One partition per file.  The options section, layer and type
+(comma-separated names) prune entities inside the scan, before they become rows.  A
+value that is no UTF-8 is read as Windows-1251.
 """
 
 from __future__ import annotations
@@ -12,10 +13,11 @@ import glob
 import math
 from collections.abc import Iterator, Sequence
 
+import pandas as pd
 import pyspark.sql.types as T
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import geometry as G
 from ..functions import layers as L
@@ -106,16 +108,7 @@ class DxfReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.paths = sorted(p for part in options["path"].split(",") for p in glob.glob(part.strip().removeprefix("file://")))
         self.permissive = options.get("mode", "FAILFAST").upper() == "PERMISSIVE"
-        self.wanted: dict[str, set] = {}
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            name = f.attribute[0] if isinstance(f, (EqualTo, In)) and len(f.attribute) == 1 else None
-            if name in ("section", "layer", "type"):
-                values = {f.value} if isinstance(f, EqualTo) else set(f.value)
-                self.wanted[name] = self.wanted.get(name, values) & values
-            else:
-                yield f
+        self.wanted = {k: {v.strip() for v in options[k].split(",")} for k in ("section", "layer", "type") if options.get(k)}
 
     def partitions(self) -> Sequence[InputPartition]:
         return [_File(p) for p in self.paths]
@@ -144,10 +137,12 @@ class DxfSource(DataSource):
         return DxfReader(self.options)
 
 
-def read_dxf(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
+def read_dxf(spark: SparkSession, path: str, mode: str = "FAILFAST", **prune: str) -> DataFrame:
     spark.dataSource.register(DxfSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return spark.read.format("dxf").option("path", path).option("mode", mode).load()
+    reader = spark.read.format("dxf").option("path", path).option("mode", mode)
+    for name, names in prune.items():
+        reader = reader.option(name, names)
+    return reader.load()
 
 
 # -- values and geometry ---------------------------------------------------------------------
@@ -270,7 +265,6 @@ LOOPS = "array<array<struct<x:double,y:double>>>"
 
 def with_hatch_loops(entities: DataFrame) -> DataFrame:
     """Column loops of hatches, decoded batch by batch."""
-    import pandas as pd
 
     @F.pandas_udf(LOOPS)
     def loops(pairs: pd.Series) -> pd.Series:
