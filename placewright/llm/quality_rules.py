@@ -165,7 +165,10 @@ def clean(docs: DataFrame) -> DataFrame:
     A text that loses no line stays as it is; n_chars, if there, counts the new text.
     """
     new = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
-    return judge(docs).filter("kept").select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
+    row = F.struct(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
+    # rows leave by an empty array, not by a filter: a filter would be pushed below
+    # the projections and work out all their arrays once more, many times over
+    return judge(docs).select(F.explode(F.when(F.col("kept"), F.array(row))).alias("row")).select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
