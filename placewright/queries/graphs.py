@@ -148,13 +148,28 @@ def straight_continuations(spark, sf):
     return graph.continuations(A.lines(spark, sf), 3.0)
 
 
-@query("clean_reasons")
+_CLEAN = f"""{_LINKS}, node as (select *, cast(floor(x + 0.5) as bigint) as kx, cast(floor(y + 0.5) as bigint) as ky from ends), len as (select *, sqrt(pow(x2-x1,2)+pow(y2-y1,2)) as n from seg),
+  np as (select a.line_id as a, b.line_id as b, degrees(acos(greatest(-1, least(1, a.ox*b.ox+a.oy*b.oy)))) as angle, la.n as an, lb.n as bn from node a join node b on a.kx = b.kx and a.ky = b.ky and a.line_id < b.line_id join len la on la.line_id = a.line_id join len lb on lb.line_id = b.line_id),
+  v as (select a, b from np where greatest(an, bn) <= 14 and least(an, bn) >= 0.65 * greatest(an, bn) and angle between 12 and 75), heads as (select a as line_id from v union select b from v),
+  linked as (select t.line_id from touch t join len s on s.line_id = t.other join len o on o.line_id = t.line_id where t.d <= 1.0 and s.n >= 9 and o.n <= 10 group by t.line_id having count(distinct t.id) = 2),
+  walk(id, root) as (select line_id, line_id from seg union select b, root from walk join both_ on a = id), lab as (select id, min(root) as c from walk group by 1),
+  shape as (select c, sum(n) as total, sqrt(pow(max(greatest(x1,x2))-min(least(x1,x2)),2)+pow(max(greatest(y1,y2))-min(least(y1,y2)),2)) as span from lab join len on id = line_id group by 1),
+  r as (select n, case when h.line_id is not null and n < 9 then 'rejected_arrowhead' when n < 0.4 then 'rejected_too_short' when n >= 9 then 'accepted_straight' when k.line_id is not null then 'accepted_connector' when total >= 20 and span >= 15 then 'accepted_component' else 'review_isolated' end as reason
+    from len join lab on id = len.line_id join shape using (c) left join heads h on h.line_id = len.line_id left join linked k on k.line_id = len.line_id)"""
+
+
+@query("clean_reasons", f"with recursive {_CLEAN} select reason, case when starts_with(reason, 'accepted_') then 'accepted' when starts_with(reason, 'review_') then 'manual_review' else 'rejected' end as decision, count(*) as n, round(sum(n), 4) as length from r group by 1, 2")
 def clean_reasons(spark, sf):
     rules = {**networks.CLEANING, "connect": 1.0, "seed": 9.0}
     return networks.clean(A.lines(spark, sf), rules).groupBy("reason", "decision").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("length"), 4).alias("length"))
 
 
-@query("merged_chains")
+@query(
+    "merged_chains",
+    f"""with recursive {_NODE}, thru as (select min(line_id) as a, max(line_id) as b from node group by kx, ky having count(*) = 2 and min(line_id) <> max(line_id)), both_ as (select a, b from thru union select b, a from thru),
+    walk(id, root) as (select line_id, line_id from seg union select b, root from walk join both_ on a = id), lab as (select id, min(root) as chain from walk group by 1)
+    select chain, round(sum(sqrt(pow(x2-x1,2)+pow(y2-y1,2))), 6) as length, count(*) as lines from lab join seg on id = line_id group by 1""",
+)
 def merged_chains(spark, sf):
     return graph.merged_chains(A.lines(spark, sf), 3.0).select("chain", F.round("length", 6).alias("length"), "lines")
 

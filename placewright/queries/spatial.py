@@ -218,7 +218,13 @@ def capacity_budget(spark, sf):
     return planning.capacity(o, "n", "o_orderkey", 20, "o_custkey").select("o_custkey", "o_orderkey", F.col("taken").cast("long").alias("taken"))
 
 
-@query("pack_greedy")
+@query(
+    "pack_greedy",
+    f"""with recursive {A.PTS}, o as (select id, x, y, kind, row_number() over (partition by kind order by id) as r from pts),
+    g(kind, r, acc) as (select distinct kind, cast(0 as bigint), cast([] as struct(id bigint, x double, y double)[]) from pts
+      union all select g.kind, o.r, case when len(list_filter(g.acc, lambda a: pow(a.x - o.x, 2) + pow(a.y - o.y, 2) + 1e-9 < 36)) = 0 then list_append(g.acc, {{'id': o.id, 'x': o.x, 'y': o.y}}) else g.acc end from g join o on o.kind = g.kind and o.r = g.r + 1)
+    select unnest(list_transform(acc, lambda a: a.id)) as id, kind from (select kind, arg_max(acc, r) as acc from g group by 1)""",
+)
 def pack_greedy(spark, sf):
     return planning.pack(A.points(spark, sf).select("id", "x", "y", "kind"), 6.0, group="kind").select("id", "kind")
 
@@ -320,7 +326,13 @@ def overlay_areas(spark, sf):
     return out.select("bed_id", *(F.round(c, 6).alias(c) for c in ("base", "excluded", "allowed")))
 
 
-@query("suppress_boxes")
+@query(
+    "suppress_boxes",
+    f"""with recursive {A.PTS}, b as (select id, spacing + footprint as score, x, y, row_number() over (order by spacing + footprint desc, id) as r from pts),
+    g(r, acc) as (select cast(0 as bigint), cast([] as struct(id bigint, score double, x double, y double)[])
+      union all select b.r, case when len(list_filter(g.acc, lambda a: abs(a.x - b.x) < 9 and abs(a.y - b.y) < 9 and (9 - abs(a.x - b.x)) * (9 - abs(a.y - b.y)) > 0.5 * 81)) = 0 then list_append(g.acc, {{'id': b.id, 'score': b.score, 'x': b.x, 'y': b.y}}) else g.acc end from g join b on b.r = g.r + 1)
+    select u.id as id, u.score as score from (select unnest(arg_max(acc, r)) as u from g)""",
+)
 def suppress_boxes(spark, sf):
     p = A.points(spark, sf).select("id", (F.col("spacing") + F.col("footprint")).alias("score"), F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + 9).alias("x2"), (F.col("y") + 9).alias("y2"))
     return planning.suppress(p).select("id", "score")
