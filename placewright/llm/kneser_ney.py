@@ -9,7 +9,9 @@ and the found probabilities return to the block, where every position of every
 text is summed into a perplexity.  A document is kept where its perplexity is
 within the fence of its language,
 
-    median + FENCE * (95 % quantile - median) of the trusted documents.
+    median + FENCE * (95 % quantile - median) of the trusted documents,
+
+widened by the factor 1 + SHORT / n_chars, as the mean over few characters is noisy.
 
 Bounds: contexts and lower orders have at most 64**3 = 262,144 entries by
 construction; those tables (3 MB) are broadcast.  Four-gram counts are never
@@ -43,6 +45,7 @@ BLOCK_CHARS = 24_000_000
 MAX_BROADCAST_IDS = 2_000_000
 MIN_TRUSTED = 20
 FENCE = 3.0
+SHORT = 20.0
 SLICE_CHARS = 1 << 20
 
 _CLASSES: list[np.ndarray] = []
@@ -240,7 +243,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     own = trusted.filter("lang is not null").groupBy("lang").agg(fence, F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_TRUSTED).select("lang", "fence")
     every = trusted.agg(fence.alias("any_fence"))  # one row
     out = scored.join(own, "lang", "left").crossJoin(F.broadcast(every))
-    out = out.withColumn("fence", F.coalesce("fence", "any_fence"))
+    out = out.withColumn("fence", F.coalesce("fence", "any_fence") * (1 + SHORT / F.greatest(F.col("n_chars"), F.lit(1))))
     kept = F.col("perplexity").isNotNull() & (F.col("fence").isNull() | (F.col("perplexity") <= F.col("fence")))
     return out.select("doc_id", "lang", "n_chars", "perplexity", "fence", kept.alias("kept"))
 
