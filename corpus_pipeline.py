@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from placewright.llm import byte_bpe, decontaminate, near_dedup, quality_rules, secret_scan
 from placewright.llm.storage import stash, table
+from placewright.session import share_package
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +42,25 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return byte_bpe.decode(byte_bpe.encode(docs, path, pattern), path).select("doc_id", "ids", *byte_bpe.digest_columns())
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality rules", quality),
-    ("near-duplicates", near_duplicates),
-    ("benchmark decontamination", decontamination),
-    ("secret scans", secrets),
-    ("byte-level BPE", tokens),
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _ready(stage: Stage) -> Stage:
+    """The stage, run in a session whose Python workers can import the package."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        share_package(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", _ready(quality)),
+    ("near-duplicates", _ready(near_duplicates)),
+    ("benchmark decontamination", _ready(decontamination)),
+    ("secret scans", _ready(secrets)),
+    ("byte-level BPE", _ready(tokens)),
 ]
 
 #: The near-duplicate join, the edit-distance search, the forest and the tokenizer are
