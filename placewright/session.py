@@ -6,6 +6,20 @@ import os
 
 from pyspark.sql import SparkSession
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def share_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it.
+
+    Workers get the folder in their PYTHONPATH; where machines do not share it, ship
+    the package with ``--py-files`` as for any other.
+    """
+    env = spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep) if env.get("PYTHONPATH") else []
+    if ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
+
 
 def build_session(app: str = "placewright", cpus: int | None = None, **extra: str) -> SparkSession:
     """Local session with the settings the engine expects (UTC, AQE, Arrow)."""
@@ -26,4 +40,5 @@ def build_session(app: str = "placewright", cpus: int | None = None, **extra: st
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    share_package(spark)
     return spark
