@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from . import textcore as X
 from .components import components
-from .storage import id_and_text, stash, table
+from .storage import id_and_text, small_batches, stash, table
 
 SHINGLE = 5
 PERCENT = 75
@@ -335,9 +335,10 @@ def label_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def named_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, key, n, label) of every row of ``docs``; label names its component."""
-    rows = stash(sketches(docs), "sketches")
-    classes = stash(classes_of(rows), "classes")
-    labels = stash(label_classes(docs, classes), "labels")
+    with small_batches(docs.sparkSession):
+        rows = stash(sketches(docs), "sketches")
+        classes = stash(classes_of(rows), "classes")
+        labels = stash(label_classes(docs, classes), "labels")
     return rows.select("doc_id", "key", "n", "class").join(labels, "class", "left").select("doc_id", "key", "n", F.coalesce("label", "class").alias("label"))
 
 
