@@ -18,9 +18,12 @@ nothing is capped.
 
 Links are confirmed on full sets: 100 * intersection >= 75 * union, on 64-bit
 shingle hashes.  A sketch only rules out pairs that agree in under half of the
-positions, which a pair at the threshold does with probability 2e-6.  A pair at
-the threshold shares none of the ``LEAVES`` trees at their first level with
-probability 0.25 ** 8 = 1.5e-5.
+positions, which a pair at the threshold does with probability 2e-6.  The number
+of trees follows from the depth they reach: a pair at the threshold is parted in
+one tree with probability 0.25 / 0.39 / 0.48 / 0.55 / 0.60 at 1 to 5 levels, and
+more often if its sketch happens to agree in fewer positions, so trees are added
+until at most 1 - ``RECALL`` of such pairs are parted in all of them (16 trees up
+to two levels, 20 / 24 / 32 at 3 / 4 / 5).
 
 Defined cases: null or empty texts and texts without words have an empty set,
 link with nothing and are their own component; texts under five words are one
@@ -32,6 +35,7 @@ Classes are named by 64 bits of their set's hash.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,7 +51,7 @@ SHINGLE = 5
 PERCENT = 75
 POSITIONS = 64
 TREES = 16
-LEAVES = 8
+RECALL = 0.9999
 SMALL = 48
 BLOCK = 512
 MIN_AGREE = POSITIONS // 2
@@ -167,9 +171,30 @@ def _confirm_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long")
 
 
-def _roots(classes: DataFrame, trees: int) -> DataFrame:
-    """(class, tree, node): the first level of every tree, one token each."""
-    nodes = F.array(*(F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.col("tokens")[t]).alias("node")) for t in range(trees)))
+def parted(levels: int, trees: int) -> float:
+    """Share of the pairs at the threshold that no tree of ``levels`` levels keeps together."""
+    total = 0.0
+    for same in range(POSITIONS + 1):
+        share, below = same / POSITIONS, 0.0
+        for _ in range(levels - 1):
+            one = 1 - share + share * below
+            below = (2 * one + one * one) / 3  # two tokens in a third of the nodes
+        chance = math.comb(POSITIONS, same) * (PERCENT / 100) ** same * (1 - PERCENT / 100) ** (POSITIONS - same)
+        total += chance * (1 - share + share * below) ** trees
+    return total
+
+
+def trees_for(levels: int) -> int:
+    """Trees of ``levels`` levels that find ``RECALL`` of the pairs at the threshold."""
+    trees = TREES
+    while parted(levels, trees) > 1 - RECALL:
+        trees += 4
+    return trees
+
+
+def _roots(classes: DataFrame, trees: range) -> DataFrame:
+    """(class, tree, node): the first level of the trees, one token each (used again after ``POSITIONS`` trees)."""
+    nodes = F.array(*(F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), F.col("tokens")[t % POSITIONS]).alias("node")) for t in trees))
     return classes.select("class", F.explode(nodes).alias("x")).select("class", "x.tree", "x.node")
 
 
@@ -181,7 +206,7 @@ def _sized(rows: DataFrame) -> DataFrame:
 
 def _star_pairs(classes: DataFrame) -> DataFrame:
     """(a, b): every class with the most central members of its nodes."""
-    rows = stash(_sized(_roots(classes, TREES)).select("class", "node", "size"), "nodes")
+    rows = stash(_sized(_roots(classes, range(TREES))).select("class", "node", "size"), "nodes")
     company = rows.groupBy("class").agg(F.sum("size").alias("company"))
     centre = rows.select("class", "node").join(company, "class").groupBy("node").agg(F.max(F.struct("company", "class")).alias("top")).select("node", F.col("top.class").alias("a"))
     met = rows.select("class", "node").join(centre, "node").filter("a <> class").groupBy("a", F.col("class").alias("b")).agg(F.count(F.lit(1)).alias("times"))
@@ -224,9 +249,9 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return df.select("class", "label", F.explode(pair).alias("node"))
 
 
-def _leaves(classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """(class, label, node) of the nodes to compare exhaustively, over all levels."""
-    roots = _roots(classes, LEAVES).join(labels, "class", "left")
+def _grow(classes: DataFrame, labels: DataFrame, trees: range) -> tuple[DataFrame, int]:
+    """(class, label, node) of the nodes of some trees to compare exhaustively, and the levels reached."""
+    roots = _roots(classes, trees).join(labels, "class", "left")
     rows = roots.select("class", F.coalesce("label", "class").alias("label"), F.lit(1 << 62).alias("parent"), "node")
     out, level = None, 0
     while True:
@@ -238,11 +263,22 @@ def _leaves(classes: DataFrame, labels: DataFrame) -> DataFrame:
         out = out.unionByName(_mixed(_blocks(large.filter(dense))).select("class", "label", "node"))
         large = large.filter(~dense)
         if large.isEmpty():
-            return out
+            return out, level + 1
         level += 1
         rows = _branch(large, classes, level)
 
 
+def _leaves(classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(class, label, node) of the nodes to compare exhaustively, of as many trees as ``RECALL`` takes."""
+    out, have, need, depth = None, 0, TREES, 1
+    while have < need:
+        more, levels = _grow(classes, labels, range(have, need))
+        out = more if out is None else out.unionByName(more)
+        depth = max(depth, levels)
+        have, need = need, trees_for(depth)
+    return out
+
+
 def _involved(leaves: DataFrame, classes: DataFrame) -> DataFrame:
     """(class, label, node): members of leaves with a close member of another label.
 

@@ -62,6 +62,40 @@ def test_groups_at_the_threshold(spark, small, monkeypatch):
     check(spark, texts)
 
 
+def deep_texts(documents, seed=11):
+    """Texts of 30 passages with three wordings each, and for each a partner at 0.76.
+
+    Every token is in a third of the texts, so that only deep nodes part the pairs.
+    """
+    rng = random.Random(seed)
+    wordings = [[" ".join(f"p{s}v{v}w{w}" for w in range(12)) for v in range(3)] for s in range(30)]
+    out = []
+    for _ in range(documents // 2):
+        first = [rng.randrange(3) for _ in wordings]
+        second = list(first)
+        at = rng.randrange(25)
+        for s in range(at, at + 6, 2):
+            second[s] = (second[s] + 1) % 3
+        for choice in (first, second):
+            out.append((len(out), " ".join(w[c] for w, c in zip(wordings, choice))))
+    return out
+
+
+def test_pairs_in_deep_nodes(spark, monkeypatch):
+    monkeypatch.setattr(N, "SMALL", 4)
+    check(spark, deep_texts(600))
+
+
+def test_trees_follow_the_depth():
+    # closed form of one tree: 1/4 at the first level, 1/4 + 3/4 * 3/16 at the second
+    assert abs(sum(N.parted(1, 1) for _ in range(4)) - 1) < 1e-9
+    assert abs(N.parted(2, 1) - 0.39) < 0.01 and abs(N.parted(5, 1) - 0.60) < 0.01
+    assert N.trees_for(1) == N.TREES
+    for levels in range(1, 9):
+        assert N.parted(levels, N.trees_for(levels)) <= 1 - N.RECALL
+    assert N.parted(3, 8) > 0.005
+
+
 def test_odd_rows(spark):
     rows = [(5, "Same short text"), (3, "same short  TEXT"), (9, None), (8, ""), (7, " \n"), (None, "same short text"), (None, "alone here"), (4, "x " * 100000), (4, "x " * 100000), (4, "other words than those before")]
     got = N.group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
