@@ -1,8 +1,8 @@
 """Quality classifier by n-gram perplexity (operator 1).
 
 An interpolated modified Kneser-Ney model over character n-grams (order 4, in an
-alphabet of 64 classes) is trained on trusted text: all documents whose label
-says quality 1.  Its four-gram counts are a table sharded by n-gram; joins with
+alphabet of 64 classes) is trained on trusted text: all documents labelled
+quality 1 and not toxic.  Its four-gram counts are a table sharded by n-gram; joins with
 the counts of their contexts give each its probability.  To score, documents are
 dealt to blocks; each block's distinct n-grams are joined with the sharded table,
 and the found probabilities return to the block, where every position of every
@@ -221,7 +221,10 @@ def perplexity(docs: DataFrame, model: Model, chars: int | None = None) -> DataF
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
-    return labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    """Documents labelled quality 1 that no label calls toxic (a missing toxic label does not)."""
+    named = labels.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic")
+    state = named.groupBy("doc_id").agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("bad"))
+    return state.filter("good = 1 and coalesce(bad, 0) = 0").select("doc_id")
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:

@@ -68,6 +68,11 @@ def test_table(spark):
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.35
 
 
+def test_toxic_documents_are_not_trusted(spark):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (3, 0, 0), (4, 1, None), (5, 1, 0), (5, 1, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    assert sorted(r.doc_id for r in K.trusted_ids(labels).collect()) == [1, 4]
+
+
 def test_odd_rows(spark):
     text = "some plain words of the trusted kind, again and again. "
     rows = [(i, text * (1 + i % 5), "en", 1.0) for i in range(30)] + [(None, text, None, 0.0), (50, None, "en", 0.0), (51, "", "xx", 0.0), (52, text * 4000, "xx", 0.0), (52, text * 4000, "xx", 0.0), (53, "#|%" * 40, "en", 0.0)]
