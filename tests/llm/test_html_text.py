@@ -1,5 +1,8 @@
 import html as H
 import re
+import time
+
+import pytest
 
 from placewright.llm.html_text import extract, extract_pages, op8_html_text
 
@@ -17,6 +20,31 @@ def test_pages_of_the_table(spark):
         assert r.n_chars == len(want) and r.url == pages[r.page_id].url
 
 
+def article_of(page: str) -> str:
+    body = re.search(r"<article>(.*?)(</article>|$)", page, re.S)[1]
+    return " ".join(H.unescape(re.sub(r"<[^<>]*(>|$)", lambda m: "" if re.match(r"</?b>", m[0]) else " ", body)).split())
+
+
+@pytest.mark.parametrize("mark", ["div", ""])
+def test_pages_without_article_and_class_names(spark, mark):
+    """The clusters alone find the region: article elements become plain ones or go, classes go."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("html").collect()
+    right = []
+    for r in rows:
+        plain = re.sub(r' class="[^"]*"', "", re.sub(r"<(/?)article>", rf"<\1{mark}>" if mark else "", r.html))
+        want = article_of(r.html)
+        right.append((len(want), extract(plain) == want))
+    assert sum(ok for _, ok in right) > 0.95 * len(right)
+    # only articles of a few short lines cannot be told from an unmarked advert
+    assert all(ok for n, ok in right if n > 2000)
+
+
+def test_two_regions_of_unmarked_text():
+    text = "A long paragraph that says a good deal about its subject, sentence after sentence, to the end. " * 3
+    page = f"<body><div>advert line</div><div><h1>T</h1><div><p>{text}</p></div><p>x</p><div><p>{text}</p></div></div><div><a href=/a>{text}</a></div></body>"
+    assert extract(page) == " ".join(f"T {text} x {text}".split())
+
+
 def test_plain_pages_without_an_article_element():
     text = "A long paragraph of the article that says a good deal about its subject, sentence after sentence. " * 3
     page = f"""<html><head><title>T</title></head><body><div id="top-nav"><a href=/>Home</a><a href=/n>News</a></div>
@@ -38,6 +66,22 @@ def test_markup_corner_cases():
     assert extract("<article>" + "<p>word word</p>" * 20000) == " ".join(["word word"] * 20000)
 
 
+def test_broken_declarations():
+    assert [extract(s) for s in ("<![foo[bar]]>x", "<!-->x", "<!--->x", "<!DOCTYPE [>x", "<![CDATA[x]]>y", "x<!-- no end <p>y", "<!x>y", "<a href=/>menu</a>")] == ["x", "x", "x", "x", "y", "x", "y", ""]
+
+
+def test_deep_nesting_takes_linear_time():
+    for s in ("<b>", "<div>", "<p><b>", "<b></i>", "<td><tr>", "<article>", "<a "):
+        t = time.time()
+        extract(s * 100_000 + "word>")
+        assert time.time() - t < 30, s
+
+
+def test_broken_page_in_a_job(spark):
+    df = spark.createDataFrame([(1, "u", "<![foo[bar]]><article>a</article>"), (2, "u", "<!-->" * 9 + "<p>b</p>")], "page_id long, url string, html string")
+    assert sorted(r.text for r in extract_pages(df).collect()) == ["a", "b"]
+
+
 def test_odd_rows(spark):
     rows = [(None, None, None, 1), (1, "u", "", 2), (1, "u", "<article>a</article>", 3), (1, "u", "<article>a</article>", 3)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
