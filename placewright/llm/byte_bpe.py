@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import functools
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -100,21 +101,25 @@ def boundaries(text: str, pattern: str, last: bool) -> list[int]:
 
 
 def stitch(chunks: list[tuple[int, str, list[int]]], pattern: str) -> list[str]:
-    """Pre-tokens of the whole text from (start, chunk text, boundaries) in order."""
+    """Pre-tokens of the whole text from (start, chunk text, boundaries) in order.
+
+    Linear in the text: only the boundaries inside an overlap are looked at twice.
+    """
     starts = [c[0] for c in chunks]
     text = "".join(c[1][: (starts[i + 1] if i + 1 < len(chunks) else c[0] + len(c[1])) - c[0]] for i, c in enumerate(chunks))
-    cuts = [b for b in chunks[0][2]]
+    cuts = list(chunks[0][2])
     rx = regex.compile(pattern)
     for start, _, own in chunks[1:]:
-        later = {b + start for b in own}
-        meet = next((b for b in cuts if b >= start and b in later), None)
+        both = {b + start for b in own[: bisect_right(own, cuts[-1] - start)]}
+        meet = next((i for i in range(bisect_left(cuts, start), len(cuts)) if cuts[i] in both), None)
         if meet is None:
             # no agreement inside the overlap: go on from the last certain boundary
+            later = {b + start for b in own}
             while cuts[-1] < len(text) and not (cuts[-1] >= start and cuts[-1] in later):
                 cuts.append(rx.match(text, cuts[-1]).end())
-            meet = cuts[-1]
-        cuts = [b for b in cuts if b <= meet]
-        cuts += [b + start for b in own if b + start > meet]
+        else:
+            del cuts[meet + 1 :]
+        cuts += [b + start for b in own[bisect_right(own, cuts[-1] - start) :]]
     while cuts[-1] < len(text):
         cuts.append(rx.match(text, cuts[-1]).end())
     return [text[a:b] for a, b in zip(cuts, cuts[1:])]

@@ -1,5 +1,7 @@
 import hashlib
+import time
 
+import regex
 import tiktoken
 
 from placewright.llm import byte_bpe as B
@@ -33,6 +35,22 @@ def test_chunked_encoding_equals_whole_texts(spark):
             assert r.ids == WHOLE.encode_ordinary(text), (chunk, r.doc_id)
 
 
+def test_stitching_is_linear_in_the_text():
+    took = []
+    for copies in (100_000, 1_600_000):  # 4 and 64 MB
+        text = "some words here, 123 and été.  plus more\n" * copies
+        n = -(-len(text) // B.CHUNK)
+        parts = [text[i * B.CHUNK : (i + 1) * B.CHUNK + B.OVERLAP] for i in range(n)]
+        chunks = [(i * B.CHUNK, p, B.boundaries(p, PATTERN, i == n - 1)) for i, p in enumerate(parts)]
+        start = time.time()
+        pieces = B.stitch(chunks, PATTERN)
+        took.append(time.time() - start)
+        assert sum(map(len, pieces)) == len(text)
+        if copies == 100_000:
+            assert pieces == regex.findall(PATTERN, text)
+    assert took[1] < 60 * max(took[0], 0.2)
+
+
 def test_decoding_gives_back_the_bytes(spark):
     for r in B.decode(B.encode(rows(spark), PATH, PATTERN, 100, 20), PATH).collect():
         assert bytes(r.decoded).decode() == ("null id" if r.doc_id is None else TEXTS[r.doc_id] or "")
