@@ -1,4 +1,5 @@
 import pandas as pd
+from pyspark.sql import functions as F
 
 from placewright.llm import url_filter as U
 
@@ -20,6 +21,11 @@ URLS = [
     "https://good.example.net/y?u=http://bad.example.net/",
     "://",
     "x://y://z/org",
+    "http://user:pw@a.b.co.uk:8080/x",
+    "http://c.b.co.uk/x",
+    "http://10.0.0.7:80/p",
+    "http://[::1]:80/p",
+    "http://h.com:8080/q",
 ]
 
 
@@ -54,6 +60,30 @@ def test_rules_and_reputation(spark):
     assert by[7].verdict == "allow" and by[8].verdict == "block"
     assert by[9].rule is None and by[9].verdict == "block" and by[11].verdict == "allow"
     assert by[0].host == by[2].host == "" and by[13].host == "y:"
+    assert by[14].host == "user:pw@a.b.co.uk:8080" and by[16].host == "10.0.0.7:80"
+
+
+def test_domains_and_suffixes(spark):
+    hosts = ["user:pw@a.b.co.uk:8080", "co.uk", "10.0.0.7:80", "[::1]:80", "h.com:8080", "localhost", "a.b.example.net"]
+    name = U._name(F.col("h"))
+    got = spark.createDataFrame([(h,) for h in hosts], "h string").select(name, U._domain(name), U._suffix(name)).collect()
+    assert [tuple(r) for r in got] == [
+        ("a.b.co.uk", "b.co.uk", "co.uk"),
+        ("co.uk", "co.uk", "co.uk"),
+        ("10.0.0.7", "10.0.0.7", "(address)"),
+        ("[::1]", "[::1]", "(address)"),
+        ("h.com", "h.com", "com"),
+        ("localhost", "localhost", "localhost"),
+        ("a.b.example.net", "example.net", "net"),
+    ]
+
+
+def test_long_url_and_plan(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/" + "x" * 5_000_000)], "page_id long, url string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert len(U.judge(pages, labels).first().path) == 5_000_001
+    plan = U.op10_url_filter(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") < 20 and "NestedLoop" not in plan and "Python" not in plan
 
 
 def test_empty_tables(spark):
