@@ -2,10 +2,13 @@ r"""Line-first quality rules (operator 6), DataFrame functions only.
 
 Every line of a text is judged alone.  A line with a word fails if it
 
-* shouts: it has letters A-Z, none of a-z, and at least three words;
+* shouts: it has capitals of any script, no small letters, and at least three words;
 * is symbol-laden: characters of ``[#*$%&|<>]`` number at least 0.3 for each word;
-* is navigation: three words or more of which at least a quarter are ``|``;
-* lacks punctuation: eight words or more and none of ``. ! ? : ;`` or U+2026;
+* is navigation: three words or more of which at least a quarter are separators
+  (``SEPARATORS``), or it is one of at least four short lines (up to three words,
+  no terminal punctuation) that make up half or more of the text's distinct lines;
+* lacks punctuation: eight words or more and no terminal punctuation of any
+  script (``TERMINAL``);
 * is boilerplate: it holds one of the fixed phrases below;
 * repeats an earlier line of the same text.
 
@@ -31,6 +34,10 @@ MAX_REPEAT_PERCENT = 50
 MAX_LOST_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
+SHORT_WORDS, SHORT_LINES = 3, 4
+# Words that separate links, punctuation that ends or divides a sentence in some script.
+SEPARATORS = tuple("| · • › » ❯ → > / ¦ ‖ ∙".split())
+TERMINAL = ".!?:;…。．！？：；｡؟؛۔।॥।။၊։՞՜׃჻።፧፨᠃᠉។៕๏๚๛༎།‥‼⁇⁈⁉"
 # Phrases of licence and site boilerplate, matched in any case.
 PHRASES = (
     "all rights reserved",
@@ -41,6 +48,23 @@ PHRASES = (
     "accept cookies",
     "subscribe to our newsletter",
     "click here to",
+    "tous droits réservés",
+    "mentions légales",
+    "politique de confidentialité",
+    "accepter les cookies",
+    "alle rechte vorbehalten",
+    "datenschutzerklärung",
+    "allgemeine geschäftsbedingungen",
+    "cookies akzeptieren",
+    "todos los derechos reservados",
+    "aviso legal",
+    "política de privacidad",
+    "aceptar cookies",
+    "todos os direitos reservados",
+    "tutti i diritti riservati",
+    "все права защищены",
+    "版权所有",
+    "無断転載を禁じます",
 )
 
 
@@ -57,13 +81,23 @@ def described(line: Column) -> Column:
     return F.struct(line.alias("line"), F.lower(line).alias("low"), F.size(words(line)).alias("n"))
 
 
+def _ends(line: Column) -> Column:
+    """Whether terminal punctuation stands in a line; the long class is only tried on scripts that need it."""
+    return line.rlike("[.!?:;…]") | (line.rlike("[^\\x00-\\u024F]") & line.rlike(f"[{TERMINAL}]"))
+
+
+def _short(x: Column) -> Column:
+    return (x["n"] <= SHORT_WORDS) & ~_ends(x["line"])
+
+
 def line_fails(x: Column) -> Column:
     """Whether one described line (with a word) breaks a rule by itself."""
     line, low, n = x["line"], x["low"], x["n"]
-    shouts = (n >= 3) & line.rlike("[A-Z]") & ~line.rlike("[a-z]")
+    shouts = (n >= 3) & ~line.rlike("\\p{Ll}") & line.rlike("\\p{Lu}")
     laden = line.rlike("[#*$%&|<>]") & (_symbols(line) * 10 >= n * 3)
-    menu = (n >= 3) & line.contains("|") & ((n - F.size(F.array_remove(words(line), "|"))) * 4 >= n)
-    unpunctuated = (n >= 8) & ~line.rlike("[.!?:;…]")
+    bars = F.size(F.filter(words(line), lambda w: w.isin(*SEPARATORS)))
+    menu = (n >= 3) & line.rlike("[" + "".join(SEPARATORS) + "]") & (bars * 4 >= n)
+    unpunctuated = (n >= 8) & ~_ends(line)
     boiler = F.lit(False)
     for phrase in PHRASES:
         boiler = boiler | low.contains(phrase)
@@ -136,7 +170,13 @@ def measures(docs: DataFrame) -> DataFrame:
 def judge(docs: DataFrame) -> DataFrame:
     """Measures and verdict of every document, with the text of its good lines."""
     df = measures(docs)
-    df = df.withColumn("seen", F.transform("own_lines", described)).withColumn("good_lines", F.transform(F.filter("seen", lambda x: ~line_fails(x)), lambda x: x["line"]))
+    df = df.withColumn("seen", F.transform("own_lines", described))
+    df = df.withColumn("fine", F.filter("seen", lambda x: ~line_fails(x)))
+    # the state of the whole text stays outside the functions of single lines: inside it would be worked out for every line
+    df = df.withColumn("short", F.size(F.filter("seen", _short)))
+    listed = (F.col("short") >= SHORT_LINES) & (2 * F.col("short") >= F.size("seen"))
+    df = df.withColumn("fine", F.when(listed, F.filter("fine", lambda x: ~_short(x))).otherwise(F.col("fine")))
+    df = df.withColumn("good_lines", F.transform("fine", lambda x: x["line"]))
 
     def chars(name: str) -> Column:
         return F.aggregate(name, F.lit(0).cast("long"), lambda s, x: s + F.length(x))
@@ -180,7 +220,9 @@ def _verdict_sql() -> str:
     spaces = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
     split = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda v: v <> '')"
     nw = f"len({split.format('x')})"
-    bars = f"len(list_filter({split.format('x')}, lambda v: v = '|'))"
+    separators = ", ".join(f"'{v}'" for v in SEPARATORS)
+    bars = f"len(list_filter({split.format('x')}, lambda v: v in ({separators})))"
+    is_short = f"{nw} <= {SHORT_WORDS} and not regexp_matches(x, '[{TERMINAL}]')"
     return f"""
     with base as (
       select doc_id, coalesce(text, '') as t from documents
@@ -190,7 +232,7 @@ def _verdict_sql() -> str:
       from base
     ), lined as (
       select *, list_filter(list_transform(range(1, len(lines) + 1), lambda i: case when list_position(lines, lines[i]) = i then lines[i] end), lambda x: x is not null) as own,
-             case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: w[i] || chr(31) || w[i + 1] || chr(31) || w[i + 2]) else [] end as tri
+             case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: [w[i], w[i + 1], w[i + 2]]) else [] end as tri
       from worded
     ), tris as (
       select rowid_ as r, unnest(tri) as g, generate_subscripts(tri, 1) as i from (select row_number() over () as rowid_, * from lined)
@@ -199,14 +241,17 @@ def _verdict_sql() -> str:
       select r, i, count(*) over (partition by r, g) as c from tris
     ), cover as (
       select r, count(distinct p) as n from (select r, unnest([i, i + 1, i + 2]) as p from again where c >= 2) group by r
+    ), sorted as (
+      select *, len(list_filter(own, lambda x: {is_short})) as short from numbered
     ), good as (
       select *, list_filter(own, lambda x: not (
-            (regexp_matches(x, '[A-Z]') and not regexp_matches(x, '[a-z]') and {nw} >= 3)
+            (short >= {SHORT_LINES} and 2 * short >= len(own) and {is_short})
+         or (regexp_matches(x, '\\p{{Lu}}') and not regexp_matches(x, '\\p{{Ll}}') and {nw} >= 3)
          or ((length(x) - length(translate(x, '{SYMBOLS}', ''))) * 10 >= {nw} * 3)
          or ({nw} >= 3 and {bars} * 4 >= {nw})
-         or ({nw} >= 8 and not regexp_matches(x, '[.!?:;…]'))
+         or ({nw} >= 8 and not regexp_matches(x, '[{TERMINAL}]'))
          or {boiler})) as fine
-      from numbered
+      from sorted
     ), figures as (
       select doc_id, cast(len(w) as bigint) as n_words,
              cast(length(translate(t, {spaces}, '')) as bigint) as word_chars,

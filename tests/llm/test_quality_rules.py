@@ -20,6 +20,13 @@ TEXTS = [
     "äöü ß\u00a0x y\x0bz\x1fq " * 30,
     "a b c a b c",
     "a a a a a a " * 20,
+    "\n".join(" ".join(f"शब्द{i}क{k}" for k in range(10)) + " ।" for i in range(12)),
+    "\n".join(" ".join(f"слово{i}и{k}" for k in range(10)) + "." for i in range(12)),
+    "\n".join(" ".join(f"СЛОВО{i}И{k}" for k in range(10)) + "." for i in range(12)),
+    "\n".join(" ".join(f"词{i}语{k}" for k in range(10)) + "。" for i in range(12)),
+    CLEAN + "\n" + "\n".join(f"link {i}" for i in range(40)) + "\nHome › News › More",
+    "\n".join(f"Menu item {i}" for i in range(40)),
+    "x\x1fy z " * 30,
 ]
 
 
@@ -34,6 +41,15 @@ def test_against_sql_on_odd_texts(spark):
     assert got == duck.rows(Q.SQL, documents=frame)
     kept = {r.doc_id: r.kept for r in Q.judge(docs).collect()}
     assert kept[3] and kept[4] and not any(kept[i] for i in (0, 1, 2, 5, 6, 7, 8, 9))
+    assert kept[13] and kept[14] and not kept[15] and kept[16] and not kept[18]
+    text = {r.doc_id: r.clean_text for r in Q.judge(docs).collect()}
+    assert text[17] == CLEAN and kept[17]
+
+
+def test_very_long_text(spark):
+    text = "\n".join(" ".join(f"w{i}x{k}" for k in range(9)) + "." for i in range(60_000))
+    row = Q.judge(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.kept and row.n_words == 540_000 and row.clean_text == text
 
 
 def test_brute_force_of_repeated_words(spark):
