@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import stash
+from .storage import if_small, stash
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star step: hang the neighbours of every node on its least neighbour.
 
-    The least neighbour is a combinable aggregate; its join back to the edges is
-    an equi-join that adaptive execution can split where one node has most edges.
+    The least neighbour is a combinable aggregate, written before its join back to
+    the edges: then the join can be split where one node has most edges.
     """
     if large:
         near = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         near = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = near.join(least, "u")
+    least = stash(near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    joined = near.join(if_small(least), "u")
     if large:
         out = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

@@ -2,8 +2,8 @@
 
 Intermediate tables are written as Parquet below the folder named by
 ``spark.checkpoint.dir``.  On a cluster that setting must name storage all
-machines share; only where it is unset (tests, a local session) a temporary
-folder of this machine is taken.
+machines share, and without it nothing runs; only a local session (tests) takes a
+temporary folder of this machine.
 """
 
 from __future__ import annotations
@@ -17,6 +17,9 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of at most two numbers that may be broadcast: 16 MB, whatever the input's size.
+BROADCAST_ROWS = 500_000
+
 _made: list[tuple[SparkSession, str]] = []
 _local: list[str] = []
 
@@ -29,6 +32,8 @@ def scratch_root(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     if not _local:
         _local.append("file://" + tempfile.mkdtemp(prefix="placewright-"))
     return _local[0]
@@ -43,6 +48,16 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` (a written table of a few numbers a row), to be broadcast if it has at most ``rows`` rows.
+
+    Beyond that a join with it is a shuffled one; as the table is written, nothing
+    stands between its exchange and the join, and adaptive execution can split a
+    key that holds many rows of the other side.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 @contextmanager
 def small_batches(spark: SparkSession, size: int = 4 << 20) -> Iterator[None]:
     """Arrow batches of about ``size`` bytes for what is written inside the block.

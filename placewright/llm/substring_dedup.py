@@ -3,16 +3,21 @@
 Every word covered by a window of ``WINDOW`` consecutive words that also starts
 anywhere else is removed; windows are judged on the input.
 
-Texts are recompressed in three rounds.  Each round renames, by hashes that are
-the same everywhere: first short runs of one word, then twice pairs of a symbol
-of the "left" and one of the "right" half of the alphabet (a bit of the symbol's
-hash, new in every round).  Whether two symbols join depends on those two alone,
-so equal substrings get equal symbols but for ``MARGIN`` words at either end:
+Texts are recompressed in rounds.  Each round renames, by hashes that are the
+same everywhere (a name that all machines give alike needs no exchange): first
+short runs of one word, then pairs of a symbol of the "left" and one of the
+"right" half of the alphabet (a bit of the symbol's hash, new in every round).
+Whether two symbols join depends on those two alone, so equal substrings get equal
+symbols but for a margin at either end that grows with the symbols.  There are as
+many rounds as leave every window a whole symbol of the last one between its
+margins (``rounds``); for 35 words that is
 
     runs of up to 2 words                    2 words may differ at an end
     pairs of up to 4 words (of symbols <= 2) + 2
     pairs of up to 8 words (of symbols <= 4) + 4      = MARGIN 8
 
+(a fourth would need a margin of 16 and 31 words between).
+
 A window therefore has at least one high-level symbol inside its margins, the
 same ones wherever the window occurs.  The least of them (by hash, then first) is
 its anchor; the windows of one anchor are neighbours and share the anchor's
@@ -26,12 +31,13 @@ surroundings, ``MARGIN`` words to either side.
    repeats) go down to single windows: one occurrence of each distinct stretch
    gives its windows, and those met twice are repeated.
 
-All counts are combinable sums, joined back by equi-joins that can be split where
-one passage holds many rows; no pairs of occurrences are made.
+All counts are combinable sums, written before they are joined back, so that these
+joins are broadcast ones while the counts are few and can be split where one
+passage holds many rows; no pairs of occurrences are made.
 
 Defined cases: null or empty texts and texts shorter than a window lose nothing
 and keep their words; repeated rows repeat each other (both lose the shared
-words); null doc_ids are kept; other columns are ignored; an empty table gives an
+words) and share one set of spans; null doc_ids are kept; other columns are ignored; an empty table gives an
 empty result.  Equality is decided on 128 bits of hash; rows are named by 64 bits
 of doc_id and text.
 """
@@ -47,12 +53,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textcore as X
-from .storage import id_and_text, stash, table
+from .storage import id_and_text, if_small, stash, table
 
 WINDOW = 35
 RUN_CAP = 2
-PAIR_CAPS = (4, 8)
-MARGIN = RUN_CAP + RUN_CAP + PAIR_CAPS[0]
+
+
+def rounds(window: int) -> tuple[tuple[int, ...], int]:
+    """Caps of the pair rounds and the margin: the most rounds that a window guarantees a symbol of."""
+    caps, margin = [2 * RUN_CAP], 2 * RUN_CAP
+    while True:
+        cap, wider = 2 * caps[-1], margin + caps[-1]
+        # an interval of 2 * cap - 1 words holds a whole symbol of at most cap words
+        if window - 2 * wider < 2 * cap - 1:
+            return tuple(caps), margin
+        caps, margin = [*caps, cap], wider
+
+
+PAIR_CAPS, MARGIN = rounds(WINDOW)
 
 
 def _name(parts: list[np.ndarray], salt: int) -> np.ndarray:
@@ -221,18 +239,21 @@ def _cut(docs: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) of every row; kept is the text that stays."""
     found = occurrences(docs)
-    shared = found.groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("key")
-    met = stash(found.join(shared, "key"), "anchors")
+    shared = stash(found.groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("key"), "shared")
+    met = stash(found.join(if_small(shared), "key"), "anchors")
     classes = stash(met.groupBy("key", "stretch").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("row", "lo", "n")).alias("one")), "stretches")
-    sure = met.join(classes.filter("times > 1").select("key", "stretch"), ["key", "stretch"]).select("row", "lo", "n")
-    edges = classes.groupBy("key").agg(F.min("times").alias("least")).filter("least = 1").select("key")
-    ask = classes.join(edges, "key").select("one.row", "one.lo", "one.n", F.least("times", F.lit(2)).cast("int").alias("weight"))
+    twice = stash(classes.filter("times > 1").select("key", "stretch"), "twice")
+    sure = met.join(if_small(twice), ["key", "stretch"]).select("row", "lo", "n")
+    edges = stash(classes.groupBy("key").agg(F.min("times").alias("least")).filter("least = 1").select("key"), "edges")
+    ask = classes.join(if_small(edges), "key").select("one.row", "one.lo", "one.n", F.least("times", F.lit(2)).cast("int").alias("weight"))
+    ask = stash(ask.groupBy("row").agg(F.collect_list(F.struct("lo", "n", "weight")).alias("ask")), "ask")
     rows = _keyed(docs)
-    asked = rows.join(ask.groupBy("row").agg(F.collect_list(F.struct("lo", "n", "weight")).alias("ask")), "row")
-    windows = _windows(asked)
-    again = windows.groupBy("w1", "w2").agg(F.sum("weight").alias("times")).filter("times > 1").select("w1", "w2")
-    single = windows.filter("weight = 1").join(again, ["w1", "w2"]).groupBy("row").agg(F.collect_list("at").alias("single"))
-    spans = sure.groupBy("row").agg(F.collect_list(F.struct("lo", "n")).alias("sure"))
+    # only texts that are asked for move; rows of one name hold one text, which is read once
+    some = rows.join(if_small(ask.select("row")), "row", "left_semi").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    windows = _windows(some.join(ask, "row"))
+    again = stash(windows.groupBy("w1", "w2").agg(F.sum("weight").alias("times")).filter("times > 1").select("w1", "w2"), "again")
+    single = windows.filter("weight = 1").join(if_small(again), ["w1", "w2"]).groupBy("row").agg(F.collect_set("at").alias("single"))
+    spans = sure.groupBy("row").agg(F.collect_set(F.struct("lo", "n")).alias("sure"))
     return _cut(rows.join(spans, "row", "left").join(single, "row", "left"))
 
 

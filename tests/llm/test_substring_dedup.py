@@ -1,8 +1,10 @@
 import hashlib
 import random
+import time
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from placewright.llm import substring_dedup as S
 from placewright.llm.substring_dedup import WINDOW
@@ -83,3 +85,16 @@ def test_equal_windows_have_equal_anchors():
             _, lo, n, key, _ = S.anchors(h, np.array([0, len(h)]))
             got.append(key[np.searchsorted(lo, len(pre), "right") - 1])
         assert got[0] == got[1]
+
+
+def test_rounds_follow_the_window():
+    assert S.rounds(35) == ((4, 8), 8) and S.rounds(63) == ((4, 8, 16), 16) and S.rounds(20) == ((4,), 4)
+
+
+def test_many_equal_rows_without_id(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    start = time.time()
+    got = S.remove_repeats(docs).groupBy("n_words", "n_removed", "kept").count().collect()
+    assert [tuple(r) for r in got] == [(60, 60, "", 20_000)]
+    assert time.time() - start < 120
