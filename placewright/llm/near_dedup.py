@@ -17,13 +17,14 @@ that no token tells apart; it is compared in blocks, all labels against all, so
 nothing is capped.
 
 Links are confirmed on full sets: 100 * intersection >= 75 * union, on 64-bit
-shingle hashes.  A sketch only rules out pairs that agree in under half of the
+shingle hashes; members of over ``LONG`` shingles are confirmed pair by pair, the
+others leaf by leaf, so that a row holds a bounded number of bounded texts.  A sketch only rules out pairs that agree in under half of the
 positions, which a pair at the threshold does with probability 2e-6.  The number
 of trees follows from the depth they reach: a pair at the threshold is parted in
-one tree with probability 0.25 / 0.39 / 0.48 / 0.55 / 0.60 at 1 to 5 levels, and
+one tree with probability 0.25 / 0.39 / 0.49 / 0.55 / 0.61 at 1 to 5 levels, and
 more often if its sketch happens to agree in fewer positions, so trees are added
 until at most 1 - ``RECALL`` of such pairs are parted in all of them (16 trees up
-to two levels, 20 / 24 / 32 at 3 / 4 / 5).
+to two levels, 20 / 24 / 36 at 3 / 4 / 5).
 
 Defined cases: null or empty texts and texts without words have an empty set,
 link with nothing and are their own component; texts under five words are one
@@ -45,7 +46,7 @@ from pyspark.sql import functions as F
 
 from . import textcore as X
 from .components import components
-from .storage import id_and_text, small_batches, stash, table
+from .storage import id_and_text, if_small, small_batches, stash, table
 
 SHINGLE = 5
 PERCENT = 75
@@ -54,6 +55,7 @@ TREES = 16
 RECALL = 0.9999
 SMALL = 48
 BLOCK = 512
+LONG = 8192
 MIN_AGREE = POSITIONS // 2
 STARS = 3
 
@@ -91,7 +93,9 @@ def _sketch_batch(values: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np
         h1[full] = X.mix(np.add.reduceat(X.mix(values, 1), at), 3)
         h2[full] = X.mix(np.add.reduceat(X.mix(values, 2), at), 4)
         for p in range(POSITIONS):
-            tokens[full, p] = np.minimum.reduceat(((values * _MUL[p] + _ADD[p]) >> np.uint64(32)).astype(np.uint32), at)
+            # least 64-bit values lie close together; mixed, their 32 bits tell classes apart evenly
+            least = np.minimum.reduceat(values * _MUL[p] + _ADD[p], at)
+            tokens[full, p] = (X.mix(least, 5) >> np.uint64(32)).astype(np.uint32)
     return h1, h2, tokens
 
 
@@ -151,9 +155,9 @@ def _close_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _texts_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
     """(class, text): one text of every class in ``wanted``."""
-    rep = classes.join(wanted, "class", "left_semi").select("class", F.col("rep.key").alias("key"), F.coalesce("rep.doc_id", F.lit(0)).alias("at"))
+    rep = stash(classes.join(wanted, "class", "left_semi").select("class", F.col("rep.key").alias("key"), F.coalesce("rep.doc_id", F.lit(0)).alias("at")), "wanted")
     rows = id_and_text(docs).select(F.xxhash64("text").alias("key"), F.coalesce("doc_id", F.lit(0)).alias("at"), "text")
-    return rows.join(rep, ["key", "at"]).groupBy("class").agg(F.first("text").alias("text"))
+    return rows.join(if_small(rep), ["key", "at"]).groupBy("class").agg(F.first("text").alias("text"))
 
 
 def _confirm_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -175,10 +179,13 @@ def parted(levels: int, trees: int) -> float:
     """Share of the pairs at the threshold that no tree of ``levels`` levels keeps together."""
     total = 0.0
     for same in range(POSITIONS + 1):
-        share, below = same / POSITIONS, 0.0
-        for _ in range(levels - 1):
+        below = 0.0
+        for level in range(levels - 1, 0, -1):
+            # positions of the path are used, and the pair agrees at them
+            share = max(same - level, 0) / (POSITIONS - level)
             one = 1 - share + share * below
             below = (2 * one + one * one) / 3  # two tokens in a third of the nodes
+        share = same / POSITIONS
         chance = math.comb(POSITIONS, same) * (PERCENT / 100) ** same * (1 - PERCENT / 100) ** (POSITIONS - same)
         total += chance * (1 - share + share * below) ** trees
     return total
@@ -200,16 +207,17 @@ def _roots(classes: DataFrame, trees: range) -> DataFrame:
 
 def _sized(rows: DataFrame) -> DataFrame:
     """Rows whose node has company, with its size."""
-    size = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    return rows.join(size, "node")
+    size = stash(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes")
+    return rows.join(if_small(size), "node")
 
 
 def _star_pairs(classes: DataFrame) -> DataFrame:
     """(a, b): every class with the most central members of its nodes."""
     rows = stash(_sized(_roots(classes, range(TREES))).select("class", "node", "size"), "nodes")
     company = rows.groupBy("class").agg(F.sum("size").alias("company"))
-    centre = rows.select("class", "node").join(company, "class").groupBy("node").agg(F.max(F.struct("company", "class")).alias("top")).select("node", F.col("top.class").alias("a"))
-    met = rows.select("class", "node").join(centre, "node").filter("a <> class").groupBy("a", F.col("class").alias("b")).agg(F.count(F.lit(1)).alias("times"))
+    centre = rows.select("class", "node").join(company, "class").groupBy("node").agg(F.max(F.struct("company", "class")).alias("top"))
+    centre = stash(centre.select("node", F.col("top.class").alias("a")), "centres")
+    met = rows.select("class", "node").join(if_small(centre), "node").filter("a <> class").groupBy("a", F.col("class").alias("b")).agg(F.count(F.lit(1)).alias("times"))
     rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("times"), "a"))  # at most TREES rows each
     return met.withColumn("rank", rank).filter(F.col("rank") <= STARS).select("a", "b")
 
@@ -217,18 +225,25 @@ def _star_pairs(classes: DataFrame) -> DataFrame:
 def _mixed(rows: DataFrame) -> DataFrame:
     """Rows of nodes that hold several labels, with the node's size."""
     state = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-    return rows.join(state.select("node", "size"), "node")
+    return rows.join(if_small(stash(state.select("node", "size"), "states")), "node")
 
 
 def _branch(rows: DataFrame, classes: DataFrame, level: int) -> DataFrame:
-    """Children of the nodes of ``rows``: one token, or two for a third of the nodes."""
-    where = [F.pmod(F.xxhash64("node", F.lit(level), F.lit(i)), F.lit(POSITIONS)).cast("int") for i in range(2)]
-    child = [F.xxhash64("node", F.lit(i), F.col("tokens")[where[i]]) for i in range(2)]
+    """Children of the nodes of ``rows``: one token, or two for a third of the nodes.
+
+    A position is drawn from those the path has not used (``used``): at one it has
+    used the child would be its parent again.
+    """
+    free = F.array_except(F.sequence(F.lit(0), F.lit(POSITIONS - 1)), F.col("used"))
+    drawn = lambda left, i: left[F.pmod(F.xxhash64("node", F.lit(level), F.lit(i)), F.size(left)).cast("int")]
     two = F.pmod(F.xxhash64("node", F.lit(level), F.lit(2)), F.lit(3)) == 0
+    at = rows.select("class", "label", "node", "size", "used").withColumn("left", free).withColumn("p0", drawn(F.col("left"), 0))
+    at = at.withColumn("p1", F.when(two, drawn(F.array_remove("left", F.col("p0")), 1)))
+    child = [F.struct(F.xxhash64("node", F.lit(i), F.col("tokens")[F.col(f"p{i}")]).alias("node"), F.concat("used", F.array(F.col(f"p{i}"))).alias("used")) for i in range(2)]
     return (
-        rows.select("class", "label", "node", "size")
-        .join(classes.select("class", "tokens"), "class")
-        .select("class", "label", F.col("size").alias("parent"), F.explode(F.when(two, F.array(*child)).otherwise(F.array(child[0]))).alias("node"))
+        at.join(classes.select("class", "tokens"), "class")
+        .select("class", "label", F.col("size").alias("parent"), F.explode(F.when(F.col("p1").isNotNull(), F.array(*child)).otherwise(F.array(child[0]))).alias("x"))
+        .select("class", "label", "parent", "x.node", "x.used")
     )
 
 
@@ -239,7 +254,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
     they are dealt to blocks of their own, which only meet those of the others.
     """
     sizes = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.max(F.struct("n", "label")).alias("most"))
-    df = rows.join(sizes, "node")
+    df = rows.join(if_small(stash(sizes, "majorities")), "node")
     major = F.greatest(F.ceil(F.col("most.n") / BLOCK), F.lit(1)).cast("int")
     minor = F.greatest(F.ceil((F.col("size") - F.col("most.n")) / BLOCK), F.lit(1)).cast("int")
     in_major = F.col("label") == F.col("most.label")
@@ -252,7 +267,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
 def _grow(classes: DataFrame, labels: DataFrame, trees: range) -> tuple[DataFrame, int]:
     """(class, label, node) of the nodes of some trees to compare exhaustively, and the levels reached."""
     roots = _roots(classes, trees).join(labels, "class", "left")
-    rows = roots.select("class", F.coalesce("label", "class").alias("label"), F.lit(1 << 62).alias("parent"), "node")
+    rows = roots.select("class", F.coalesce("label", "class").alias("label"), F.lit(1 << 62).alias("parent"), "node", F.array(F.pmod("tree", F.lit(POSITIONS)).cast("int")).alias("used"))
     out, level = None, 0
     while True:
         rows = stash(_mixed(rows), "mixed")
@@ -260,7 +275,11 @@ def _grow(classes: DataFrame, labels: DataFrame, trees: range) -> tuple[DataFram
         out = small if out is None else out.unionByName(small)
         large = rows.filter(F.col("size") > SMALL)
         dense = F.col("size") * 2 > F.col("parent")
-        out = out.unionByName(_mixed(_blocks(large.filter(dense))).select("class", "label", "node"))
+        # a path that has used all positions ends like one that parts nothing
+        dense = dense | (F.size("used") >= POSITIONS - 1)
+        some = large.filter(dense)
+        if not some.isEmpty():
+            out = out.unionByName(_mixed(_blocks(some)).select("class", "label", "node"))
         large = large.filter(~dense)
         if large.isEmpty():
             return out, level + 1
@@ -280,24 +299,34 @@ def _leaves(classes: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _involved(leaves: DataFrame, classes: DataFrame) -> DataFrame:
-    """(class, label, node): members of leaves with a close member of another label.
+    """(class, label, node, other): members of leaves with a close member of another label.
 
-    Leaves with the same members (in other trees) are taken once.
+    Leaves with the same members (in other trees) are taken once.  Where one of two
+    close members is long, they form a row of their own, with the second in ``other``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got: tuple[list, list, list] = ([], [], [])
+            got: tuple[list, list, list, list] = ([], [], [], [])
             members = batch.column("members")
             starts = np.concatenate([[0], np.cumsum(members.value_lengths().to_numpy(zero_copy_only=False))]).astype(int)
             flat = members.flatten()
             cls, lab = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("class", "label"))
             tok = _matrix(flat.field("tokens"))
+            long = flat.field("n").to_numpy(zero_copy_only=False) > LONG
             for a, b in zip(starts, starts[1:]):
                 close = np.zeros(b - a, bool)
                 for i in range(a, b - 1):
                     rest = slice(i + 1, b)
                     hit = (lab[rest] != lab[i]) & (_agree(tok[rest], tok[i]) >= MIN_AGREE)
+                    if long[i] or long[rest].any():
+                        apart = hit & (long[rest] | long[i])
+                        for j in np.flatnonzero(apart) + i + 1:
+                            got[0].append(int(cls[i]))
+                            got[1].append(int(lab[i]))
+                            got[2].append(0)
+                            got[3].append(int(cls[j]))
+                        hit &= ~apart
                     if hit.any():
                         close[i - a] = True
                         close[i + 1 - a :] |= hit
@@ -307,10 +336,11 @@ def _involved(leaves: DataFrame, classes: DataFrame) -> DataFrame:
                     got[0].extend(cls[at].tolist())
                     got[1].extend(lab[at].tolist())
                     got[2].extend([name] * len(at))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in got], ["class", "label", "node"])
+                    got[3].extend([None] * len(at))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in got], ["class", "label", "node", "other"])
 
-    lists = leaves.join(classes.select("class", "tokens"), "class").groupBy("node").agg(F.collect_list(F.struct("class", "label", "tokens")).alias("members"))
-    return lists.select("members").mapInArrow(run, "class long, label long, node long").distinct()
+    lists = leaves.join(classes.select("class", "tokens", "n"), "class").groupBy("node").agg(F.collect_list(F.struct("class", "label", "tokens", "n")).alias("members"))
+    return lists.select("members").mapInArrow(run, "class long, label long, node long, other long").distinct()
 
 
 def _linked(sets: list[np.ndarray], step: int = 4096) -> np.ndarray:
@@ -353,7 +383,7 @@ def _confirm_leaves(involved: DataFrame, texts: DataFrame) -> DataFrame:
 
 def classes_of(rows: DataFrame) -> DataFrame:
     """One row per distinct non-empty set: class, tokens and the row that stands for it."""
-    return rows.filter("n > 0").groupBy("class").agg(F.min(F.struct("doc_id", "key")).alias("rep"), F.first("tokens").alias("tokens"))
+    return rows.filter("n > 0").groupBy("class").agg(F.min(F.struct("doc_id", "key")).alias("rep"), F.first("tokens").alias("tokens"), F.first("n").alias("n"))
 
 
 def label_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -362,11 +392,23 @@ def label_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     wanted = stars.select(F.col("a").alias("class")).unionByName(stars.select(F.col("b").alias("class"))).distinct()
     links = _confirm_pairs(stars, stash(_texts_of(docs, classes, wanted), "texts"))
     first = components(links).select(F.col("node").alias("class"), "label")
-    involved = stash(_involved(_leaves(classes, first), classes), "involved")
+    found = stash(_involved(_leaves(classes, first), classes), "involved")
+    involved = found.filter("other is null").select("class", "label", "node")
+    apart = found.filter("other is not null").select(F.col("class").alias("a"), F.col("other").alias("b"))
+    apart = stash(apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "apart")
     more = stash(_confirm_leaves(involved, _texts_of(docs, classes, involved.select("class").distinct())), "links")
-    above = components(more).select(F.col("node").alias("label"), F.col("label").alias("top"))
-    all_labels = first.unionByName(involved.select("class", "label").distinct().join(first, "class", "left_anti"))
-    return all_labels.join(above, "label", "left").select("class", F.coalesce("top", "label").alias("label"))
+    known = first.select("class", "label")
+    if not apart.isEmpty():
+        ends = apart.select(F.col("a").alias("class")).unionByName(apart.select(F.col("b").alias("class"))).distinct()
+        pairs = _confirm_pairs(apart, stash(_texts_of(docs, classes, ends), "texts"))
+        label = lambda side: known.select(F.col("class").alias(side), F.col("label").alias(f"l{side}"))
+        pairs = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left")
+        pairs = pairs.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+        more = stash(more.unionByName(pairs), "links")
+    above = stash(components(more).select(F.col("node").alias("label"), F.col("label").alias("top")), "tops")
+    fresh = above.select(F.col("label").alias("class"), F.col("label")).join(known, "class", "left_anti")
+    all_labels = known.unionByName(fresh.select("class", "label"))
+    return all_labels.join(if_small(above), "label", "left").select("class", F.coalesce("top", "label").alias("label"))
 
 
 def named_rows(docs: DataFrame) -> DataFrame:
