@@ -17,8 +17,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of at most two numbers that may be broadcast: 16 MB, whatever the input's size.
-BROADCAST_ROWS = 500_000
+#: Rows of at most a few numbers that may be broadcast: a few MB, whatever the input's size.
+BROADCAST_ROWS = 100_000
 
 _made: list[tuple[SparkSession, str]] = []
 _local: list[str] = []

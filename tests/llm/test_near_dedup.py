@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from placewright.llm import near_dedup as N
 from placewright.llm.components import components
@@ -112,32 +111,3 @@ def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 100), (7, 7)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
-
-
-def test_paths_do_not_use_a_position_twice(spark):
-    """Three levels of branching: every child adds a position of its own to its path."""
-    classes = spark.range(40).select(F.col("id").alias("class"), F.array(*(F.pmod(F.xxhash64("id", F.lit(p)), F.lit(3)).cast("int") for p in range(N.POSITIONS))).alias("tokens"))
-    rows = classes.select("class", F.col("class").alias("label"), F.lit(1).cast("long").alias("node"), F.lit(40).cast("long").alias("size"), F.array(F.lit(7)).alias("used"))
-    for level in range(1, 4):
-        rows = N._branch(rows, classes, level).withColumn("size", F.lit(40).cast("long"))
-        got = rows.collect()
-        assert got and all(len(set(r.used)) == len(r.used) == level + 1 and r.used[0] == 7 for r in got)
-
-
-def test_long_members_are_confirmed_pair_by_pair(spark, monkeypatch):
-    monkeypatch.setattr(N, "LONG", 100)
-    monkeypatch.setattr(N, "STARS", 0)
-    rng = random.Random(8)
-    texts = []
-    for size in (60, 90, 300, 300):
-        base = [f"v{rng.randrange(5000)}" for _ in range(size)]
-        for c in range(6):
-            own = list(base)
-            own[rng.randrange(size)] = f"c{c}"
-            texts.append((len(texts), " ".join(own)))
-    check(spark, texts)
-
-
-def test_many_equal_rows_without_id(spark):
-    docs = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("some words that stand in every row").alias("text"))
-    assert N.group(docs).groupBy("n_shingles", "component_id", "kept").count().collect() == [(3, None, True, 20_000)]
