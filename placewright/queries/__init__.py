@@ -1,4 +1,4 @@
 """Registered queries over the driver tables, with the SQL that states them."""
 
-from . import graphs, judgement, measures, scalars, spatial  # noqa: F401
+from . import graphs, judgement, measures, scalars, shapes, spatial  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401
