@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..operators import grid, learning, planning
+from ..operators import grid, learning, planning, verify
 from . import adapters as A
 from .registry import query
 
@@ -88,3 +88,21 @@ def dense_spacing_checks(spark, sf):
     p = _profiled(spark, sf)
     checks = planning.spacing_checks(p.filter("id % 10 = 1"), p.filter("id % 10 = 0"), 6.0)
     return checks.select("id", F.round(F.col("required") - F.col("actual"), 6).alias("lacking"), "passed")
+
+
+@query("dense_spacing_cross_type", f"with {_DENSE}, {_NEAR.format(on='a.id < b.id and a.kind <> b.kind')} select least(a_kind, b_kind) as one, greatest(a_kind, b_kind) as two, count(*) as n from pairs where d + 1e-7 < {_NEED} group by 1, 2")
+def dense_spacing_cross_type(spark, sf):
+    f = verify.cross_type_failures(_profiled(spark, sf), 6.0)
+    a, b = F.col("a_profile.plant_type"), F.col("b_profile.plant_type")
+    return f.groupBy(F.least(a, b).alias("one"), F.greatest(a, b).alias("two")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "dense_scheme_conflicts",
+    f"""with o as (select s_suppkey as option_id, s_suppkey % 40 as bed, unnest(range(0, cast(s_suppkey % 6 + 1 as int))) as k, {A._xy_sql('s_suppkey')[0]} / 40 as bx, {A._xy_sql('s_suppkey')[1]} / 40 as y from supplier), p as (select option_id, bed, bx + k as x, y from o)
+    select distinct a.option_id as a, b.option_id as b from p a join p b on a.option_id < b.option_id and a.bed <> b.bed and sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)) + 1e-9 < 2""",
+)
+def dense_scheme_conflicts(spark, sf):
+    o = A.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("option_id"), (F.col("s_suppkey") % 40).alias("bed"), F.explode(F.sequence(F.lit(0), (F.col("s_suppkey") % 6).cast("int"))).alias("k"))
+    x, y = A._xy("option_id")
+    return planning.scheme_conflicts(o.select("option_id", "bed", (x / 40 + F.col("k")).alias("x"), (y / 40).alias("y")), 2.0)
