@@ -104,21 +104,22 @@ def line_fails(x: Column) -> Column:
     return shouts | laden | menu | unpunctuated | boiler
 
 
-def _repeat_words(w: Column) -> Column:
-    """Words of ``w`` covered by three-word windows that occur twice or more.
+def _window_hashes(w: Column) -> Column:
+    """Hashes of the three-word windows of ``w``, in order."""
+    n = F.size(w)
+    pairs = F.zip_with(F.slice(w, 1, n - 2), F.slice(w, 2, n - 2), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return F.zip_with(pairs, F.slice(w, 3, n - 2), lambda x, c: F.xxhash64(x["a"], x["b"], c))
+
+
+def _repeat_words(hashes: Column) -> Column:
+    """Words covered by windows that occur twice or more, as sorted (hash, place).
 
-    Windows are hashed and sorted with their place, so equal ones are
-    neighbours; the places that have an equal neighbour are put back in order
-    and each covers up to three words, fewer where the next one overlaps.
+    Windows are sorted with their place, so equal ones are neighbours; the places
+    that have an equal neighbour are put back in order and each covers up to three
+    words, fewer where the next one overlaps.  Only texts with a repeat are sorted.
     """
-    n = F.size(w)
-    return F.sort_array(
-        F.zip_with(
-            F.zip_with(F.slice(w, 1, n - 2), F.slice(w, 2, n - 2), lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
-            F.zip_with(F.slice(w, 3, n - 2), F.sequence(F.lit(0), n - 3), lambda c, i: F.struct(c.alias("c"), i.alias("i"))),
-            lambda x, y: F.struct(F.xxhash64(x["a"], x["b"], y["c"]).alias("h"), y["i"].alias("i")),
-        )
-    )
+    keyed = F.sort_array(F.zip_with(hashes, F.sequence(F.lit(0), F.size(hashes) - 1), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), keyed)
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -128,7 +129,8 @@ def measures(docs: DataFrame) -> DataFrame:
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct("*").alias("row"))
     df = df.withColumn("w", words(text))
     df = df.withColumn("n_words", F.size("w").cast("long"))
-    df = df.withColumn("keyed", F.when(F.col("n_words") >= 4, _repeat_words(F.col("w"))))
+    df = df.withColumn("hashes", F.when(F.col("n_words") >= 4, _window_hashes(F.col("w"))))
+    df = df.withColumn("keyed", _repeat_words(F.col("hashes")))
     n = F.size("keyed")
     df = df.withColumn(
         "at",
