@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placewright.llm import byte_bpe, decontaminate, near_dedup, quality_rules, secret_scan
-from placewright.llm.storage import stash, table
+from placewright.llm.storage import hold_small_batches, stash, table
 from placewright.session import share_package
 
 
@@ -46,10 +46,15 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def _ready(stage: Stage) -> Stage:
-    """The stage, run in a session whose Python workers can import the package."""
+    """The stage, run in a session whose Python workers can import the package.
+
+    The session's Arrow batches stay small afterwards, as the stage's rows are only
+    worked out when they are written.
+    """
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         share_package(spark)
+        hold_small_batches(spark)
         return stage(spark, docs, sf_dir)
 
     return run_stage

@@ -58,6 +58,15 @@ def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def hold_small_batches(spark: SparkSession, size: int = 2 << 20) -> None:
+    """Arrow batches of about ``size`` bytes for all that ``spark`` runs from now on.
+
+    For lazy results, which are written after the call that made them: Python workers
+    outlive a stage and keep what its largest batches took.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, size: int = 4 << 20) -> Iterator[None]:
     """Arrow batches of about ``size`` bytes for what is written inside the block.
