@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..operators import grid, learning, planning, verify
+from ..operators import blocks, learning, planning
 from . import adapters as A
 from .registry import query
 
@@ -75,8 +75,8 @@ def _profiled(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("dense_spacing_same_type", f"with {_DENSE}, {_NEAR.format(on='a.id < b.id and a.kind = b.kind')} select a_kind as kind, count(*) as n, round(sum({_NEED} - d), 3) as deficit from pairs where d + 1e-7 < {_NEED} group by 1")
 def dense_spacing_same_type(spark, sf):
-    f = grid.spacing_failures(_dense(spark, sf).select("id", "x", "y", "kind", "spacing", "footprint"), bound=6.0)
-    return f.groupBy(F.col("a_kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("required") - F.col("distance")), 3).alias("deficit"))
+    f = blocks.pair_totals(_dense(spark, sf).select("x", "y", "kind", "spacing", "footprint"), 6.0, blocks.same_type, same=True)
+    return f.select(F.col("one").alias("kind"), "n", F.round("deficit", 3).alias("deficit"))
 
 
 @query(
@@ -92,9 +92,8 @@ def dense_spacing_checks(spark, sf):
 
 @query("dense_spacing_cross_type", f"with {_DENSE}, {_NEAR.format(on='a.id < b.id and a.kind <> b.kind')} select least(a_kind, b_kind) as one, greatest(a_kind, b_kind) as two, count(*) as n from pairs where d + 1e-7 < {_NEED} group by 1, 2")
 def dense_spacing_cross_type(spark, sf):
-    f = verify.cross_type_failures(_profiled(spark, sf), 6.0)
-    a, b = F.col("a_profile.plant_type"), F.col("b_profile.plant_type")
-    return f.groupBy(F.least(a, b).alias("one"), F.greatest(a, b).alias("two")).agg(F.count(F.lit(1)).alias("n"))
+    p = _profiled(spark, sf).select("x", "y", F.col("profile.plant_type").alias("kind"), "profile.spacing", "profile.footprint", "profile.avoid", "profile.trunk", "profile.under_canopy")
+    return blocks.pair_totals(p, 6.0, blocks.profiles, same=False).select("one", "two", "n")
 
 
 @query(
