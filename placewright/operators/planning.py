@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checks as C
 from ..functions import geometry as G
-from . import graph, grid
+from . import blocks, graph, grid
 
 RETENTION = 0.9
 
@@ -164,9 +164,7 @@ def prune_fragments(points: DataFrame, spacing: float, group: str) -> DataFrame:
 
 def scheme_conflicts(points: DataFrame, spacing: float) -> DataFrame:
     """(a, b): options of different beds of which two points (option_id, bed, x, y) stand too close."""
-    own = points.withColumn("id", F.monotonically_increasing_id())
-    near = grid.self_pairs(own.select("id", "x", "y", "option_id", "bed"), spacing).filter((F.col("a_bed") != F.col("b_bed")) & (F.col("distance") + 1e-9 < spacing))
-    return near.select(F.least("a_option_id", "b_option_id").alias("a"), F.greatest("a_option_id", "b_option_id").alias("b")).distinct()
+    return blocks.option_conflicts(points, spacing)
 
 
 # -- exact selection -------------------------------------------------------------------------------

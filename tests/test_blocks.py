@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from placewright.functions import checks as C
-from placewright.operators import blocks
+from placewright.functions import geometry as G
+from placewright.operators import blocks, graph, networks, planning
 from placewright.queries import QUERIES
 
 from .conftest import SF
@@ -39,3 +40,67 @@ def test_pair_totals(spark, same):
 def test_dense_pairs_never_leave_their_cell(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "FlatMapGroupsInArrow" in plan
+
+
+def drawing(spark, n=300):
+    draw = random.Random(7)
+    at = [(draw.uniform(-20, 20), draw.uniform(-20, 20)) for _ in range(n)]
+    rows = [(i, x, y, x + draw.uniform(-9, 9), y + draw.uniform(-9, 9)) for i, (x, y) in enumerate(at)] + [(n, 0.0, 0.0, 0.0, 0.0), (n + 1, 0.0, 0.0, 5.0, 0.0)]
+    return spark.createDataFrame(rows, LINE)
+
+
+def met(spark, net, r):
+    """(id, line_id, other) of every end and other line within r, by all pairs."""
+    other = net.select(F.col("line_id").alias("other"), "x1", "y1", "x2", "y2")
+    d = G.point_segment_distance(*(F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")))
+    return graph.endpoints(net).crossJoin(other).filter((F.col("line_id") != F.col("other")) & (d <= r))
+
+
+def test_touching_lines(spark):
+    net = drawing(spark)
+    want = met(spark, net, 0.3).select(F.least("line_id", "other").alias("a"), F.greatest("line_id", "other").alias("b")).distinct()
+    got = graph.touching_lines(net, 0.3)
+    assert sorted(got.collect()) == sorted(want.collect())  # as a list: no pair twice
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    free = {r.id for r in graph.endpoints(net).collect()} - {r.id for r in met(spark, net, 0.3).collect()}
+    assert {r.id for r in networks.free_endpoints(net, 0.3).collect()} == free
+    all_edges = graph.components(want, net.select(F.col("line_id").alias("id")))
+    assert sorted(graph.line_components(net, 0.3).collect()) == sorted(all_edges.collect())
+
+
+def test_forest_has_few_edges(spark):
+    net = spark.createDataFrame([(i, 0.0, 0.0, 1.0 + i, 1.0) for i in range(80)], LINE)
+    assert graph.touching_lines(net, 0.1).count() == 80 * 79 // 2
+    assert blocks.touching_forest(graph.endpoints(net), net, 0.1).count() <= 79 * 9
+
+
+def test_contracted_edges_keep_components(spark):
+    edges = spark.range(3000).select(F.col("id").alias("a"), (F.col("id") + 7).alias("b")).coalesce(1)
+    few = graph._contracted(edges.unionByName(edges).coalesce(1))
+    assert few.count() == 3000 and graph.components(edges).select("component").distinct().count() == 7
+
+
+def test_junctions(spark):
+    net, rules = drawing(spark), networks.scaled(networks.RULES, 1.0)
+    free = networks.free_endpoints(net, 0.05)
+    rows = met(spark, net, 2.0).join(free.select("id"), "id", "left_semi").collect()
+    want = set()
+    for r in rows:
+        dx, dy = r.x2 - r.x1, r.y2 - r.y1
+        n = math.hypot(dx, dy)
+        t = 0.0 if n == 0 else max(0.0, min(1.0, ((r.x - r.x1) * dx + (r.y - r.y1) * dy) / n**2))
+        tx, ty = r.x1 + t * dx, r.y1 + t * dy
+        d = math.hypot(tx - r.x, ty - r.y)
+        if t * n > 0.1 and n - t * n > 0.1 and d > 0.05 and math.degrees(math.acos(max(-1, min(1, (r.ox * (tx - r.x) + r.oy * (ty - r.y)) / d)))) <= 18:
+            want.add((r.id, r.other, round(tx, 6), round(ty, 6)))
+    got = networks.junction_candidates(free, net, rules).collect()
+    assert len(got) == len(want) > 0 and {(r.source, r.target_line, round(r.tx, 6), round(r.ty, 6)) for r in got} == want
+
+
+def test_option_conflicts(spark):
+    draw = random.Random(3)
+    rows = [(o, o % 5, draw.uniform(0, 30), draw.uniform(0, 30)) for o in range(120) for _ in range(o % 4 + 1)]
+    want = {(min(a[0], b[0]), max(a[0], b[0])) for a in rows for b in rows if a[0] < b[0] and a[1] != b[1] and math.hypot(a[2] - b[2], a[3] - b[3]) + 1e-9 < 2}
+    got = planning.scheme_conflicts(spark.createDataFrame(rows, "option_id long, bed long, x double, y double"), 2.0)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert "Aggregate [a" not in got._jdf.queryExecution().optimizedPlan().toString()
