@@ -104,3 +104,10 @@ def test_option_conflicts(spark):
     got = planning.scheme_conflicts(spark.createDataFrame(rows, "option_id long, bed long, x double, y double"), 2.0)
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert "Aggregate [a" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["spacing_failures_cross_type", "spacing_failures_same_type", "isolated_points", "composition_neighbours"])
+def test_cells_of_points_are_not_broadcast(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution()
+    assert "strategy=merge" in plan.optimizedPlan().toString() or "FlatMap" in plan.optimizedPlan().toString()
+    assert "BroadcastHashJoin [cx" not in plan.sparkPlan().toString()
