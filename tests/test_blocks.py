@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from placewright.functions import checks as C
 from placewright.functions import geometry as G
-from placewright.operators import blocks, graph, networks, planning
+from placewright.operators import blocks, graph, grid, networks, planning
 from placewright.queries import QUERIES
 
 from .conftest import SF
@@ -111,3 +111,18 @@ def test_cells_of_points_are_not_broadcast(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution()
     assert "strategy=merge" in plan.optimizedPlan().toString() or "FlatMap" in plan.optimizedPlan().toString()
     assert "BroadcastHashJoin [cx" not in plan.sparkPlan().toString()
+
+
+def test_nearest_is_looked_for_from_near_to_far(spark):
+    draw = random.Random(9)
+    own = [(i, draw.uniform(0, 100), draw.uniform(0, 100)) for i in range(25)]
+    others = [(j, draw.uniform(0, 100), draw.uniform(0, 100), draw.choice(["a", "b"])) for j in range(60)] + [(90 + j, 1.0, 1.0, "c") for j in range(3)]
+    got = grid.nearest_per_key(spark.createDataFrame(own, "id long, x double, y double"), spark.createDataFrame(others, "rid long, rx double, ry double, key string"), 60.0)
+    want = set()
+    for i, x, y in own:
+        for k in "abc":
+            near = sorted((math.hypot(x - rx, y - ry), j) for j, rx, ry, key in others if key == k and math.hypot(x - rx, y - ry) <= 60)
+            want |= {(i, k, near[0][1])} if near else set()
+    rows = got.collect()
+    assert len(rows) == len(want) and {(r.id, r.key, r.rid) for r in rows} == want
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
