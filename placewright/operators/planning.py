@@ -89,14 +89,16 @@ def pack(candidates: DataFrame, spacing: float, max_count: int | None = None, gr
         open_ = state.filter("state = 0").select("id")
         if open_.isEmpty():
             break
-        live = pairs.join(open_.withColumnRenamed("id", "a"), "a").join(open_.withColumnRenamed("id", "b"), "b")
+        # pairs with a decided end say nothing any more
+        live = pairs.join(grid.shuffled(open_.withColumnRenamed("id", "a")), "a", "left_semi").join(grid.shuffled(open_.withColumnRenamed("id", "b")), "b", "left_semi")
+        pairs = live = graph._checkpoint(live)
         blocked = live.select(F.col("b").alias("id")).distinct()
         taken = open_.join(blocked, "id", "left_anti").withColumn("now", F.lit(1))
-        lost = pairs.join(taken.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct().withColumn("now", F.lit(-1))
+        lost = live.join(taken.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct().withColumn("now", F.lit(-1))
         state = graph._checkpoint(
-            state.join(taken.unionByName(lost).groupBy("id").agg(F.max("now").alias("now")), "id", "left").select("id", F.when((F.col("state") == 0) & F.col("now").isNotNull(), F.col("now")).otherwise(F.col("state")).alias("state"))
+            state.join(grid.shuffled(taken.unionByName(lost).groupBy("id").agg(F.max("now").alias("now"))), "id", "left").select("id", F.when((F.col("state") == 0) & F.col("now").isNotNull(), F.col("now")).otherwise(F.col("state")).alias("state"))
         )
-    out = candidates.join(state.filter("state = 1").select("id"), "id", "left_semi")
+    out = candidates.join(grid.shuffled(state.filter("state = 1").select("id")), "id", "left_semi")
     if max_count is None:
         return out
     if group:
