@@ -138,11 +138,11 @@ def best_count(variants: DataFrame, key: str = "bed") -> DataFrame:
 
 def neighbour_counts(points: DataFrame, radius: float, group: str) -> DataFrame:
     """(group, n, pairs, isolated): points of a scheme within ``radius`` of each other."""
-    near = grid.self_pairs(points.select("id", "x", "y", group), radius + 1e-7).filter(F.col("a_" + group) == F.col("b_" + group))
-    met = near.select(F.explode(F.array("a_id", "b_id")).alias("id")).distinct().withColumn("met", F.lit(1))
-    pairs = near.groupBy(F.col("a_" + group).alias(group)).agg(F.count(F.lit(1)).alias("pairs"))
-    own = points.join(met, "id", "left").groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("met").isNull()).alias("isolated"))
-    return own.join(pairs, group, "left").select(group, "n", F.coalesce("pairs", F.lit(0)).alias("pairs"), "isolated")
+    found = blocks.neighbour_totals(points.select("id", "x", "y", F.col(group).cast("string").alias("kind")), radius + 1e-7)
+    own = points.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    none = F.lit(0).cast("long")
+    out = own.join(found.withColumnRenamed("kind", "_kind"), F.col(group).cast("string") == F.col("_kind"), "left")
+    return out.select(group, "n", F.coalesce("pairs", none).alias("pairs"), (F.col("n") - F.coalesce("met", none)).alias("isolated"))
 
 
 def tree_score(n: Column, pairs: Column, isolated: Column, anchored: Column, elongated: Column, style: Column, shade: Column) -> Column:

@@ -128,7 +128,16 @@ def test_nearest_is_looked_for_from_near_to_far(spark):
     assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["spacing_failures_cross_type", "spacing_failures_same_type"])
+@pytest.mark.parametrize("name", ["spacing_failures_cross_type", "spacing_failures_same_type", "composition_neighbours"])
 def test_pairs_stay_in_arrays(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "GroupsInArrow" in plan
+
+
+def test_neighbour_counts(spark):
+    p = crowd(spark)
+    rows = [r for r in p.collect() if not math.isnan(r.x)]
+    near = {k: [(a.id, b.id) for a in rows for b in rows if a.id < b.id and a.kind == b.kind == k and math.hypot(a.x - b.x, a.y - b.y) <= 2.0] for k in ("tree", "shrub", "herbaceous")}
+    got = {r.kind: (r.n, r.pairs, r.isolated) for r in planning.neighbour_counts(p.select("id", "x", "y", "kind"), 2.0, "kind").collect()}
+    total = {k: p.filter(F.col("kind") == k).count() for k in near}
+    assert got == {k: (total[k], len(v), total[k] - len({i for ab in v for i in ab})) for k, v in near.items()}
