@@ -157,3 +157,10 @@ def test_continuations(spark):
     got = networks.continuation_candidates(free, now)
     assert sorted((r.source, r.target, round(r.distance, 6)) for r in got.collect()) == sorted(want) and want
     assert "FlatMapGroupsInArrow" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_few_edges_are_labelled_in_one_task(spark):
+    edges = spark.range(400).select(F.col("id").alias("a"), (F.col("id") + 7).alias("b"))
+    one, rounds = graph._labels(edges), graph._labels(edges, rows=10)
+    assert sorted(one.collect()) == sorted(rounds.collect()) and one.count() == 407
+    assert "Union" in graph.components(edges)._jdf.queryExecution().optimizedPlan().toString()
