@@ -164,3 +164,11 @@ def test_few_edges_are_labelled_in_one_task(spark):
     one, rounds = graph._labels(edges), graph._labels(edges, rows=10)
     assert sorted(one.collect()) == sorted(rounds.collect()) and one.count() == 407
     assert "Union" in graph.components(edges)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_both_ends_touch(spark):
+    net = drawing(spark)
+    near = {(r.line_id, r.end) for r in graph.endpoints(net).crossJoin(net.filter("line_id < 60").select("x1", "y1", "x2", "y2")).filter(G.point_segment_distance(*(F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2"))) <= 0.4).collect()}
+    got = graph.both_ends_touch(net, net.filter("line_id < 60"), 0.4)
+    assert sorted(r.line_id for r in got.collect()) == sorted(i for i in range(302) if {(i, 0), (i, 1)} <= near)
+    assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().optimizedPlan().toString()
