@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from placewright.functions import checks as C
 from placewright.functions import geometry as G
-from placewright.operators import blocks, graph, grid, networks, planning
+from placewright.operators import blocks, graph, grid, learning, networks, planning
 from placewright.queries import QUERIES
 
 from .conftest import SF
@@ -172,3 +172,26 @@ def test_both_ends_touch(spark):
     got = graph.both_ends_touch(net, net.filter("line_id < 60"), 0.4)
     assert sorted(r.line_id for r in got.collect()) == sorted(i for i in range(302) if {(i, 0), (i, 1)} <= near)
     assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_features_in_arrays(spark):
+    net = drawing(spark)
+    at = {(r.id, r.line_id): (r.x, r.y, r.ox, r.oy) for r in graph.endpoints(net).collect()}
+    degree, best = {}, {}
+    for (a, la), (x, y, u, v) in at.items():
+        for (_, lb), (x2, y2, u2, v2) in at.items():
+            if la != lb and math.hypot(x - x2, y - y2) <= 1.0:
+                degree.setdefault(a, set()).add(lb)
+                best[la] = max(best.get(la, 0.0), (1 - (u * u2 + v * v2)) / 2)
+    long = net.withColumn("length", graph.length_of())
+    side = lambda p: long.select(*(F.col(c).alias(p + c) for c in long.columns))
+    c = lambda p, e: [F.col(f"{p}x{e}"), F.col(f"{p}y{e}")]
+    reach = F.least(*(G.point_segment_distance(*c(p, e), *c(q, 1), *c(q, 2)) for p, q in ("ab", "ba") for e in (1, 2)))
+    turn = lambda p, q, e: (c(p, 2)[0] - c(p, 1)[0]) * (c(q, e)[1] - c(p, 1)[1]) - (c(p, 2)[1] - c(p, 1)[1]) * (c(q, e)[0] - c(p, 1)[0])
+    meets = (turn("a", "b", 1) * turn("a", "b", 2) < 0) & (turn("b", "a", 1) * turn("b", "a", 2) < 0)
+    near = {r.line_id: r.n for r in side("a").crossJoin(side("b")).filter("aline_id <> bline_id").filter((reach <= 1.0) | meets).groupBy(F.col("aline_id").alias("line_id")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    f = learning.features(net, 1.0)
+    for r in f.collect():
+        assert (r.start_degree, r.end_degree) == tuple(len(degree.get(r.line_id * 2 + e, ())) for e in (0, 1))
+        assert abs(r.best_continuation - best.get(r.line_id, 0.0)) < 1e-9 and r.nearby == near.get(r.line_id, 0)
+    assert f._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInArrow") >= 2
