@@ -195,3 +195,12 @@ def test_features_in_arrays(spark):
         assert (r.start_degree, r.end_degree) == tuple(len(degree.get(r.line_id * 2 + e, ())) for e in (0, 1))
         assert abs(r.best_continuation - best.get(r.line_id, 0.0)) < 1e-9 and r.nearby == near.get(r.line_id, 0)
     assert f._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInArrow") >= 2
+
+
+def test_training_reads_kept_features(spark, monkeypatch):
+    kept, keep = [], graph._checkpoint
+    monkeypatch.setattr(graph, "_checkpoint", lambda df: kept.append(df.columns) or keep(df))
+    monkeypatch.setattr(learning, "train", lambda *a, **b: None)
+    monkeypatch.setattr(learning, "probabilities", lambda model, rows: rows.withColumn("probability", F.lit(0.5)))
+    assert QUERIES["forest_classifier"](spark, SF).count() == 1
+    assert [c for c in kept if "tile" in c]
