@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checks as C
 from ..functions import geometry as G
-from . import grid
+from . import blocks, grid
 
 
 def target_distances(points: DataFrame, targets: DataFrame, radius: float, cell: float | None = None) -> DataFrame:
@@ -82,16 +82,10 @@ def audit_rollup(audited: DataFrame) -> DataFrame:
 def in_region(points: DataFrame, rings: DataFrame) -> DataFrame:
     """Points inside the union of regions: even-odd over the edges of each region.
 
-    ``rings`` are edges (region_id, x1, y1, x2, y2); only edges whose height range
-    meets the point's row of cells are compared.
+    ``rings`` are edges (region_id, x1, y1, x2, y2); only the edges that a ray from the
+    point's cell can cross inside their region are compared.
     """
-    size = 25.0
-    y1, y2 = F.least("y1", "y2"), F.greatest("y1", "y2")
-    edges = rings.withColumn("cy", F.explode(F.sequence(G.cell(y1, size), G.cell(y2, size))))
-    hit = G.crosses_upward(F.col("x"), F.col("y"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    crossed = points.withColumn("cy", G.cell(F.col("y"), size)).join(edges, "cy").filter(hit)
-    inside = crossed.groupBy("id", "region_id").agg(F.count(F.lit(1)).alias("n")).filter("n % 2 = 1").select("id").distinct()
-    return points.join(inside, "id", "left_semi")
+    return blocks.inside(points, rings)
 
 
 def resolve_sources(parts: DataFrame) -> DataFrame:

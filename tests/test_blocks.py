@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from placewright.functions import checks as C
 from placewright.functions import geometry as G
-from placewright.operators import blocks, graph, grid, learning, networks, planning
+from placewright.operators import blocks, graph, grid, learning, networks, planning, rules
 from placewright.queries import QUERIES
 
 from .conftest import SF
@@ -128,7 +128,7 @@ def test_nearest_is_looked_for_from_near_to_far(spark):
     assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["spacing_failures_cross_type", "spacing_failures_same_type", "composition_neighbours", "continuation_candidates"])
+@pytest.mark.parametrize("name", ["spacing_failures_cross_type", "spacing_failures_same_type", "composition_neighbours", "continuation_candidates", "region_membership"])
 def test_pairs_stay_in_arrays(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "GroupsInArrow" in plan
@@ -197,6 +197,13 @@ def test_features_in_arrays(spark):
     assert f._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInArrow") >= 2
 
 
+def test_region_of_repeated_points(spark):
+    edge = [(1, 0.0, 0.0, 60.0, 0.0), (1, 60.0, 0.0, 60.0, 30.0), (1, 60.0, 30.0, 0.0, 30.0), (1, 0.0, 30.0, 0.0, 0.0), (2, 10.0, 10.0, 90.0, 20.0), (2, 90.0, 20.0, 10.0, 20.0), (2, 10.0, 20.0, 10.0, 10.0)]
+    edges = spark.createDataFrame(edge, "region_id long, x1 double, y1 double, x2 double, y2 double")
+    points = spark.createDataFrame([(7, 5.0, 5.0, "a"), (7, 5.0, 5.0, "a"), (8, 85.0, 19.8, "b"), (9, 85.0, 5.0, "c"), (10, math.nan, 5.0, "d"), (11, -1.0, 5.0, "e")], "id long, x double, y double, name string")
+    assert sorted((r.id, r.name) for r in rules.in_region(points, edges).collect()) == [(7, "a"), (7, "a"), (8, "b")]
+
+
 def test_training_reads_kept_features(spark, monkeypatch):
     kept, keep = [], graph._checkpoint
     monkeypatch.setattr(graph, "_checkpoint", lambda df: kept.append(df.columns) or keep(df))
