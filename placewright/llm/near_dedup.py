@@ -221,15 +221,30 @@ def _mixed(rows: DataFrame) -> DataFrame:
 
 
 def _branch(rows: DataFrame, classes: DataFrame, level: int) -> DataFrame:
-    """Children of the nodes of ``rows``: one token, or two for a third of the nodes."""
+    """Children of the nodes of ``rows``: one token, or two for a third of the nodes.
+
+    The members of a node's largest label are linked with each other already, so
+    they only go to the children where one of another label is.
+    """
     where = [F.pmod(F.xxhash64("node", F.lit(level), F.lit(i)), F.lit(POSITIONS)).cast("int") for i in range(2)]
     child = [F.xxhash64("node", F.lit(i), F.col("tokens")[where[i]]) for i in range(2)]
     two = F.pmod(F.xxhash64("node", F.lit(level), F.lit(2)), F.lit(3)) == 0
-    return (
-        rows.select("class", "label", "node", "size")
-        .join(classes.select("class", "tokens"), "class")
-        .select("class", "label", F.col("size").alias("parent"), F.explode(F.when(two, F.array(*child)).otherwise(F.array(child[0]))).alias("node"))
-    )
+    named = _with_most(rows.select("class", "label", "node", "size")).join(classes.select("class", "tokens"), "class")
+    # the second child is null where there is one only
+    named = stash(named.select("class", "label", F.col("size").alias("parent"), (F.col("label") == F.col("most.label")).alias("major"), child[0].alias("c0"), F.when(two, child[1]).alias("c1")), "children")
+    own = ["class", "label", "parent"]
+    minor = named.filter("not major").select(*own, F.explode(F.array_compact(F.array("c0", "c1"))).alias("node"))
+    met = minor.select("node").distinct()
+    out = minor
+    for c in ("c0", "c1"):
+        out = out.unionByName(named.filter("major").select(*own, F.col(c).alias("node")).join(met, "node", "left_semi"))
+    return out
+
+
+def _with_most(rows: DataFrame) -> DataFrame:
+    """Rows with ``most``: number and name of their node's largest label."""
+    sizes = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.max(F.struct("n", "label")).alias("most"))
+    return rows.join(sizes, "node")
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
@@ -238,8 +253,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
     The members of a node's largest label are linked with each other already, so
     they are dealt to blocks of their own, which only meet those of the others.
     """
-    sizes = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.max(F.struct("n", "label")).alias("most"))
-    df = rows.join(sizes, "node")
+    df = _with_most(rows)
     major = F.greatest(F.ceil(F.col("most.n") / BLOCK), F.lit(1)).cast("int")
     minor = F.greatest(F.ceil((F.col("size") - F.col("most.n")) / BLOCK), F.lit(1)).cast("int")
     in_major = F.col("label") == F.col("most.label")
@@ -260,7 +274,9 @@ def _grow(classes: DataFrame, labels: DataFrame, trees: range) -> tuple[DataFram
         out = small if out is None else out.unionByName(small)
         large = rows.filter(F.col("size") > SMALL)
         dense = F.col("size") * 2 > F.col("parent")
-        out = out.unionByName(_mixed(_blocks(large.filter(dense))).select("class", "label", "node"))
+        blocks = large.filter(dense)
+        if not blocks.isEmpty():  # written, so that what reads the leaves of all trees stays one small plan
+            out = out.unionByName(stash(_mixed(_blocks(blocks)).select("class", "label", "node"), "blocks"))
         large = large.filter(~dense)
         if large.isEmpty():
             return out, level + 1

@@ -111,3 +111,14 @@ def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 100), (7, 7)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+
+
+def test_linked_members_only_go_where_others_are(spark):
+    token = lambda k: [k % 4] * N.POSITIONS
+    classes = spark.createDataFrame([(k, token(k)) for k in range(40)], "class long, tokens array<int>")
+    rows = spark.createDataFrame([(k, 1000 if k < 37 else k, node, 40) for k in range(40) if k not in (38, 39) for node in (5, 6, 7)], "class long, label long, node long, size int")
+    got = N._branch(rows, classes, 1).collect()
+    # class 37 is the only one of another label: of the linked ones those with its token stay
+    assert {r["class"] for r in got} == {k for k in range(38) if k % 4 == 1}
+    by_node = {n: {r["class"] for r in got if r.node == n} for n in {r.node for r in got}}
+    assert len(got) == len(set(got)) and all(v == {k for k in range(38) if k % 4 == 1} for v in by_node.values()) and len(by_node) >= 3
