@@ -252,8 +252,18 @@ def _blocks(rows: DataFrame) -> DataFrame:
 
     The members of a node's largest label are linked with each other already, so
     they are dealt to blocks of their own, which only meet those of the others.
+    Where they are most of the node, other trees hold mostly the same ones: they
+    meet the others of all these nodes at once, and the others of a node each other.
     """
-    df = _with_most(rows)
+    df = stash(_with_most(rows.select("class", "label", "node", "size")), "dense")
+    most = F.col("most.n") * 2 > F.col("size")
+    rest = _mixed(df.filter(most & (F.col("label") != F.col("most.label"))).select("class", "label", "node"))
+    merged = df.filter(most).select("class", "label", F.col("most.label").alias("of")).distinct()
+    return _dealt(df.filter(~most)).unionByName(_dealt(_with_most(rest))).unionByName(_across(stash(merged, "merged")))
+
+
+def _dealt(df: DataFrame) -> DataFrame:
+    """Members of nodes, with ``most``, in pairs of blocks: those of the largest label do not meet each other."""
     major = F.greatest(F.ceil(F.col("most.n") / BLOCK), F.lit(1)).cast("int")
     minor = F.greatest(F.ceil((F.col("size") - F.col("most.n")) / BLOCK), F.lit(1)).cast("int")
     in_major = F.col("label") == F.col("most.label")
@@ -263,6 +273,17 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return df.select("class", "label", F.explode(pair).alias("node"))
 
 
+def _across(merged: DataFrame) -> DataFrame:
+    """Members of label ``of`` and others, in pairs of a block of either."""
+    inner = F.col("label") == F.col("of")
+    count = merged.groupBy("of").agg(F.count_if(inner).alias("n"), F.count_if(~inner).alias("m"))
+    blocks = lambda c: F.greatest(F.ceil(F.col(c) / BLOCK), F.lit(1)).cast("int")
+    own = F.pmod(F.xxhash64("class"), F.when(inner, blocks("n")).otherwise(blocks("m"))).cast("int")
+    others = F.sequence(F.lit(0), F.when(inner, blocks("m")).otherwise(blocks("n")) - 1)
+    pair = F.transform(others, lambda o: F.xxhash64(F.lit("across"), "of", F.when(inner, own).otherwise(o), F.when(inner, o).otherwise(own)))
+    return merged.join(count, "of").select("class", "label", F.explode(pair).alias("node"))
+
+
 def _grow(classes: DataFrame, labels: DataFrame, trees: range) -> tuple[DataFrame, int]:
     """(class, label, node) of the nodes of some trees to compare exhaustively, and the levels reached."""
     roots = _roots(classes, trees).join(labels, "class", "left")

@@ -122,3 +122,18 @@ def test_linked_members_only_go_where_others_are(spark):
     assert {r["class"] for r in got} == {k for k in range(38) if k % 4 == 1}
     by_node = {n: {r["class"] for r in got if r.node == n} for n in {r.node for r in got}}
     assert len(got) == len(set(got)) and all(v == {k for k in range(38) if k % 4 == 1} for v in by_node.values()) and len(by_node) >= 3
+
+
+def test_dense_nodes_of_several_trees_meet_at_once(spark):
+    # twelve trees hold the same 600 linked classes, each with two others of its own; one node has no label that is most of it
+    rows = [(k, 1000, node, 602) for k in range(600) for node in range(12)] + [(2000 + 2 * node + i, 2000 + 2 * node + i, node, 602) for node in range(12) for i in range(2)]
+    rows += [(5000 + k, 5000 + k // 2, 99, 60) for k in range(60)]
+    got = N._blocks(spark.createDataFrame(rows, "class long, label long, node long, size long")).collect()
+    at, want = {}, {}
+    for r in got:
+        at.setdefault(r["class"], set()).add(r.node)
+    for c, label, node, _ in rows:
+        want.setdefault(node, []).append((c, label))
+    for members in want.values():
+        assert all(at[a] & at[b] for a, x in members for b, y in members if x != y)
+    assert len(got) < 3 * 1000
