@@ -14,7 +14,9 @@ on the full sets give a first labelling.  Then only nodes that still hold severa
 labels branch on and are compared exhaustively, leaving out pairs that are linked
 already.  A large node that keeps over half of its parent's members holds copies
 that no token tells apart; it is compared in blocks, all labels against all, so
-nothing is capped.
+nothing is capped.  Such nodes of several trees hold mostly the same classes: those
+with the same largest label meet as one, if that costs less.  Once the large nodes
+hold at most ``FEW`` pairs a class, all these are compared and nothing branches on.
 
 Links are confirmed on full sets: 100 * intersection >= 75 * union, on 64-bit
 shingle hashes.  A sketch only rules out pairs that agree in under half of the
@@ -45,7 +47,7 @@ from pyspark.sql import functions as F
 
 from . import textcore as X
 from .components import components
-from .storage import id_and_text, small_batches, stash, table
+from .storage import id_and_text, likely, small_batches, stash, table
 
 SHINGLE = 5
 PERCENT = 75
@@ -55,6 +57,8 @@ RECALL = 0.9999
 SMALL = 48
 BLOCK = 512
 MIN_AGREE = POSITIONS // 2
+FEW = 100  # pairs a class that are compared rather than branched on
+ROW = 100  # pairs of sketches compared at the cost of one row more
 STARS = 3
 
 _rng = np.random.default_rng(75)
@@ -150,10 +154,12 @@ def _close_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _texts_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(class, text): one text of every class in ``wanted``."""
+    """(class, text): one text of every class in ``wanted``; few others are exchanged."""
     rep = classes.join(wanted, "class", "left_semi").select("class", F.col("rep.key").alias("key"), F.coalesce("rep.doc_id", F.lit(0)).alias("at"))
+    rep = stash(rep.withColumn("name", F.xxhash64("key", "at")), "wanted")
     rows = id_and_text(docs).select(F.xxhash64("text").alias("key"), F.coalesce("doc_id", F.lit(0)).alias("at"), "text")
-    return rows.join(rep, ["key", "at"]).groupBy("class").agg(F.first("text").alias("text"))
+    rows = likely(rows.withColumn("name", F.xxhash64("key", "at")), "name", rep)
+    return rows.join(rep, ["name", "key", "at"]).groupBy("class").agg(F.first("text").alias("text"))
 
 
 def _confirm_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -252,14 +258,28 @@ def _blocks(rows: DataFrame) -> DataFrame:
 
     The members of a node's largest label are linked with each other already, so
     they are dealt to blocks of their own, which only meet those of the others.
-    Where they are most of the node, other trees hold mostly the same ones: they
-    meet the others of all these nodes at once, and the others of a node each other.
     """
-    df = stash(_with_most(rows.select("class", "label", "node", "size")), "dense")
-    most = F.col("most.n") * 2 > F.col("size")
-    rest = _mixed(df.filter(most & (F.col("label") != F.col("most.label"))).select("class", "label", "node"))
-    merged = df.filter(most).select("class", "label", F.col("most.label").alias("of")).distinct()
-    return _dealt(df.filter(~most)).unionByName(_dealt(_with_most(rest))).unionByName(_across(stash(merged, "merged")))
+    return _dealt(_families(stash(_with_most(rows.select("class", "label", "node", "size")), "dense")))
+
+
+def _families(df: DataFrame) -> DataFrame:
+    """Dense nodes, those of the same largest label as one node, if that costs less.
+
+    Other trees hold mostly the same members, which then meet once and not once in
+    every tree.  The cost is that of the pairs to compare and of the members' rows.
+    """
+    of = F.col("most.label").alias("of")
+    cost = (F.col("size").cast("double") * (F.col("size") - F.col("most.n") + ROW)).alias("cost")
+    nodes = df.groupBy("node").agg(F.first(of).alias("of"), F.first(cost).alias("cost"))
+    alone = nodes.groupBy("of").agg(F.sum("cost").alias("alone"), F.min("node").alias("node"))
+    members = stash(df.select("class", "label", of).distinct(), "merged")
+    family = members.groupBy("of").agg(F.count(F.lit(1)).alias("size"), F.count_if(F.col("label") == F.col("of")).alias("n"))
+    family = family.select("of", "size", F.struct("n", F.col("of").alias("label")).alias("most")).select("of", "size", "most", cost)
+    # a name of its own: other trees and levels have families of the same label
+    one = family.join(alone, "of").filter("cost <= alone").select("of", F.xxhash64(F.lit("family"), "node").alias("node"), "size", "most")
+    one = stash(one, "family")
+    rest = df.withColumn("of", of).join(one.select("of"), "of", "left_anti")
+    return members.join(one, "of").select("class", "label", "node", "size", "most").unionByName(rest.select("class", "label", "node", "size", "most"))
 
 
 def _dealt(df: DataFrame) -> DataFrame:
@@ -273,19 +293,12 @@ def _dealt(df: DataFrame) -> DataFrame:
     return df.select("class", "label", F.explode(pair).alias("node"))
 
 
-def _across(merged: DataFrame) -> DataFrame:
-    """Members of label ``of`` and others, in pairs of a block of either."""
-    inner = F.col("label") == F.col("of")
-    count = merged.groupBy("of").agg(F.count_if(inner).alias("n"), F.count_if(~inner).alias("m"))
-    blocks = lambda c: F.greatest(F.ceil(F.col(c) / BLOCK), F.lit(1)).cast("int")
-    own = F.pmod(F.xxhash64("class"), F.when(inner, blocks("n")).otherwise(blocks("m"))).cast("int")
-    others = F.sequence(F.lit(0), F.when(inner, blocks("m")).otherwise(blocks("n")) - 1)
-    pair = F.transform(others, lambda o: F.xxhash64(F.lit("across"), "of", F.when(inner, own).otherwise(o), F.when(inner, o).otherwise(own)))
-    return merged.join(count, "of").select("class", "label", F.explode(pair).alias("node"))
-
-
 def _grow(classes: DataFrame, labels: DataFrame, trees: range) -> tuple[DataFrame, int]:
-    """(class, label, node) of the nodes of some trees to compare exhaustively, and the levels reached."""
+    """(class, label, node) of the nodes of some trees to compare exhaustively, and the levels reached.
+
+    Large nodes branch on until few pairs are left in them: then all of these are compared.
+    """
+    few = FEW * classes.count()
     roots = _roots(classes, trees).join(labels, "class", "left")
     rows = roots.select("class", F.coalesce("label", "class").alias("label"), F.lit(1 << 62).alias("parent"), "node")
     out, level = None, 0
@@ -295,13 +308,16 @@ def _grow(classes: DataFrame, labels: DataFrame, trees: range) -> tuple[DataFram
         out = small if out is None else out.unionByName(small)
         large = rows.filter(F.col("size") > SMALL)
         dense = F.col("size") * 2 > F.col("parent")
-        blocks = large.filter(dense)
-        if not blocks.isEmpty():  # written, so that what reads the leaves of all trees stays one small plan
-            out = out.unionByName(stash(_mixed(_blocks(blocks)).select("class", "label", "node"), "blocks"))
-        large = large.filter(~dense)
-        if large.isEmpty():
+        crowds, pairs = large.agg(F.count_if(dense), F.sum(F.when(~dense, F.col("size")).otherwise(0))).first()
+        last = (pairs or 0) <= few  # none are left, or few
+        if crowds or last and pairs:  # written, so that what reads the leaves of all trees stays one small plan
+            out = out.unionByName(stash(_mixed(_blocks(large if last else large.filter(dense))).select("class", "label", "node"), "blocks"))
+        if last:
             return out, level + 1
+        large = large.filter(~dense)
         level += 1
+        if level == 1:  # later levels hold no other classes
+            classes = stash(likely(classes.select("class", "tokens"), "class", stash(large.select("class").distinct(), "crowd")), "crowded")
         rows = _branch(large, classes, level)
 
 
@@ -316,10 +332,18 @@ def _leaves(classes: DataFrame, labels: DataFrame) -> DataFrame:
     return out
 
 
+def _different(leaves: DataFrame) -> DataFrame:
+    """``leaves`` without those that have the members of another one (mostly of another tree)."""
+    names = [F.bit_xor(F.xxhash64("class", F.lit(i))).alias(f"name{i}") for i in range(2)]
+    sets = leaves.groupBy("node").agg(F.count(F.lit(1)).alias("size"), *names)
+    one = sets.groupBy("size", "name0", "name1").agg(F.min("node").alias("node"))
+    return leaves.join(one.select("node"), "node", "left_semi")
+
+
 def _involved(leaves: DataFrame, classes: DataFrame) -> DataFrame:
     """(class, label, node): members of leaves with a close member of another label.
 
-    Leaves with the same members (in other trees) are taken once.
+    Involved members that are the same in several leaves are taken once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,7 +370,9 @@ def _involved(leaves: DataFrame, classes: DataFrame) -> DataFrame:
                     got[2].extend([name] * len(at))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in got], ["class", "label", "node"])
 
-    lists = leaves.join(classes.select("class", "tokens"), "class").groupBy("node").agg(F.collect_list(F.struct("class", "label", "tokens")).alias("members"))
+    leaves = stash(_different(leaves), "leaves")
+    tokens = likely(classes.select("class", "tokens"), "class", stash(leaves.select("class").distinct(), "crowd"))
+    lists = leaves.join(tokens, "class").groupBy("node").agg(F.collect_list(F.struct("class", "label", "tokens")).alias("members"))
     return lists.select("members").mapInArrow(run, "class long, label long, node long").distinct()
 
 

@@ -1,9 +1,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from placewright.llm import near_dedup as N
 from placewright.llm.components import components
+from placewright.llm.storage import likely, stash
 
 
 def brute(texts):
@@ -137,3 +139,68 @@ def test_dense_nodes_of_several_trees_meet_at_once(spark):
     for members in want.values():
         assert all(at[a] & at[b] for a, x in members for b, y in members if x != y)
     assert len(got) < 3 * 1000
+
+
+def test_dense_nodes_of_one_largest_label_meet_once(spark):
+    # twenty trees hold the same 1,000 classes, under half of them linked
+    rows = [(k, 1 if k < 400 else 1000 + k, node, 1000) for k in range(1000) for node in range(20)]
+    got = N._blocks(spark.createDataFrame(rows, "class long, label long, node long, size long")).collect()
+    at = {}
+    for r in got:
+        at.setdefault(r["class"], set()).add(r.node)
+    assert all(at[a] & at[b] for a in range(1000) for b in range(max(a + 1, 400), 1000))
+    assert len(got) < 3 * 1000
+
+
+def test_dense_nodes_that_share_only_a_label_stay_apart(spark):
+    # as one node the 40 others of each would meet those of all
+    rows = [(c, label, node, 60) for node in range(30) for c, label in [(k, 1) for k in range(20)] + [(1000 + 40 * node + k, 1000 + 40 * node + k) for k in range(40)]]
+    got = N._blocks(spark.createDataFrame(rows, "class long, label long, node long, size long")).collect()
+    members = {}
+    for r in got:
+        members.setdefault(r.node, set()).add(r["class"])
+    # of each node one block of the 40, and one of the 40 with the 20
+    assert sorted(map(len, members.values())) == [40] * 30 + [60] * 30
+
+
+def test_families_of_several_levels_have_names_of_their_own(spark):
+    level = lambda nodes: N._blocks(spark.createDataFrame([(k, 1 if k < 40 else k, n, 60) for n in nodes for k in range(60)], "class long, label long, node long, size long"))
+    first, second = ({r.node for r in level(nodes).collect()} for nodes in (range(3), range(10, 13)))
+    assert first and second and not first & second
+
+
+def test_leaves_with_the_same_members_are_taken_once(spark):
+    rows = [(c, c, node) for node in range(16) for c in (3, 4, 5)] + [(c, c, 50) for c in (3, 4)] + [(c, c, 51) for c in (4, 5)]
+    got = {}
+    for r in N._different(spark.createDataFrame(rows, "class long, label long, node long")).collect():
+        got.setdefault(r.node, set()).add(r["class"])
+    assert sorted(map(sorted, got.values())) == [[3, 4], [3, 4, 5], [4, 5]]
+
+
+def test_few_texts_are_exchanged_for_the_wanted_classes(spark):
+    docs = spark.createDataFrame([(i, f"text number {i // 2}") for i in range(4000)], "doc_id long, text string")
+    classes = stash(N.classes_of(N.sketches(docs)), "classes")
+    wanted = classes.join(docs.filter("doc_id % 80 = 0").select(F.col("doc_id").alias("one")), F.col("rep.doc_id") == F.col("one")).select("class")
+    texts = N._texts_of(docs, classes, wanted)
+    assert sorted(r.text for r in texts.collect()) == sorted(f"text number {i}" for i in range(0, 2000, 40))
+    names = stash(spark.range(0, 200000, 10).select(F.xxhash64("id").alias("name")), "names")
+    some = likely(spark.range(200000).select("id", F.xxhash64("id").alias("name")), "name", names)
+    assert some.columns == ["id", "name"] and some.filter("id % 10 = 0").count() == 20000
+    assert some.count() < 1.03 * 200000 / 10 + 0.03 * 180000
+    assert likely(docs.select("doc_id"), "doc_id", stash(docs.select("doc_id").filter("doc_id < 0"), "names")).count() == 0
+
+
+def test_few_pairs_are_compared_rather_than_branched_on(spark, monkeypatch):
+    monkeypatch.setattr(N, "SMALL", 4)
+    docs = spark.createDataFrame(deep_texts(600), "doc_id long, text string")
+    classes = stash(N.classes_of(N.sketches(docs)), "classes")
+    none = spark.createDataFrame([], "class long, label long")
+    leaves, levels = N._grow(classes, none, range(2))
+    assert levels <= 2
+    monkeypatch.setattr(N, "FEW", 0)
+    deep, more = N._grow(classes, none, range(2))
+    assert more > levels
+    # what deep leaves hold together these do too
+    met = lambda rows: rows.alias("x").join(rows.alias("y"), F.expr("x.node = y.node and x.class < y.class")).select("x.class", F.col("y.class").alias("other")).distinct()
+    assert met(deep).exceptAll(met(leaves)).count() == 0
+    check(spark, deep_texts(600))
