@@ -89,8 +89,8 @@ def running_area(rows: DataFrame) -> DataFrame:
 
 
 def runs(strokes: DataFrame, key: list[str], low: str, high: str, gap: float) -> DataFrame:
-    """Gaps and islands: strokes joined where the gap to all before is at most ``gap``."""
-    w = Window.partitionBy(*key).orderBy(low, high)
+    """Gaps and islands: strokes joined where the gap to all before is at most ``gap``; a missing place comes last, as in the SQL."""
+    w = Window.partitionBy(*key).orderBy(F.asc_nulls_last(low), F.asc_nulls_last(high))
     reach = F.max(high).over(w.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(reach.isNull() | (F.col(low) - reach > gap), 1).otherwise(0)
     df = strokes.withColumn("_new", new).withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))

@@ -48,3 +48,14 @@ def test_against_sql(spark, con, name):
 def test_runs(spark, name):
     df = QUERIES[name](spark, SF)
     assert df.columns and df.count() >= 0
+
+
+def test_strokes_without_a_value_come_last(spark, con, tmp_path):
+    values = [(1, None), (1, 5.0), (1, 1.0), (1, None), (1, math.inf), (2, None), (2, None), (3, 4.0), (None, 9.0), (None, None)]
+    spark.createDataFrame(values, "user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    df = QUERIES["dash_runs"](spark, str(tmp_path))
+    want = duckdb.connect()
+    want.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    cur = want.execute(ORACLE_SQL["dash_runs"])
+    names = [d[0] for d in cur.description]
+    assert rows_of(df.collect(), df.columns) == rows_of(cur.fetchall(), names)
