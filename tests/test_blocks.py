@@ -211,3 +211,36 @@ def test_training_reads_kept_features(spark, monkeypatch):
     monkeypatch.setattr(learning, "probabilities", lambda model, rows: rows.withColumn("probability", F.lit(0.5)))
     assert QUERIES["forest_classifier"](spark, SF).count() == 1
     assert [c for c in kept if "tile" in c]
+
+
+def broken_crowd(spark):
+    """A crowd, lines whose inside only touches it, pairs apart and a line without one end."""
+    draw = random.Random(11)
+    at = lambda k, x, y, r: (k, x, y, x + draw.uniform(-r, r), y + draw.uniform(-r, r))
+    rows = [at(i, draw.uniform(0, 12), draw.uniform(0, 12), 3) for i in range(300)]
+    rows += [at(300 + i, draw.uniform(-60, 60), draw.uniform(-60, 60), 6) for i in range(150)]
+    rows += [(450 + i, 20.0 + 3 * i, -30.0, 20.0 + 3 * i, 30.0) for i in range(6)] + [(460, 21.0, 0.0, 22.7, 0.0), (461, 22.9, 5.0, 22.9, 5.0)]
+    return spark.createDataFrame(rows, LINE)
+
+
+@pytest.mark.parametrize("r", [0.0, 0.4, 1.0])
+def test_forests_of_a_broken_crowd(spark, r):
+    net = broken_crowd(spark)
+    own = net.select(F.col("line_id").alias("id"))
+    touch = graph.components(met(spark, net, r).select(F.col("line_id").alias("a"), F.col("other").alias("b")), own)
+    assert sorted(graph.line_components(net, r).collect()) == sorted(touch.collect())
+    ends = graph.endpoints(net)
+    a, b = ends.alias("a"), ends.alias("b")
+    near = a.join(b, (F.col("a.line_id") < F.col("b.line_id")) & (G.distance(F.col("a.x"), F.col("a.y"), F.col("b.x"), F.col("b.y")) <= r)).select(F.col("a.line_id").alias("a"), F.col("b.line_id").alias("b"))
+    want, got = graph.components(near, own), graph.components(blocks.end_forest(ends, r), own)
+    assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_stars_are_labelled_by_their_roots(spark, monkeypatch):
+    draw = random.Random(3)
+    rows = [(i % 20, 20 + i) for i in range(400)] + [(draw.randrange(10), 20 + i) for i in range(0, 400, 20)] + [(500 + i, 7) for i in range(3)]
+    edges = spark.createDataFrame(rows, "a long, b long")
+    want = graph._labels(edges).collect()
+    kept, keep = [], graph._checkpoint
+    monkeypatch.setattr(graph, "_checkpoint", lambda df: kept.append(df) or keep(df))
+    assert sorted(graph._labels(edges, rows=30).collect()) == sorted(want) and len(kept) <= 3
