@@ -244,3 +244,16 @@ def test_stars_are_labelled_by_their_roots(spark, monkeypatch):
     kept, keep = [], graph._checkpoint
     monkeypatch.setattr(graph, "_checkpoint", lambda df: kept.append(df) or keep(df))
     assert sorted(graph._labels(edges, rows=30).collect()) == sorted(want) and len(kept) <= 3
+
+
+def test_forest_has_the_size_of_the_method(spark, monkeypatch):
+    class Stop(Exception):
+        pass
+
+    def forest(**given):
+        raise Stop(given["numTrees"], given["maxDepth"], given["minInstancesPerNode"])
+
+    monkeypatch.setattr(learning, "RandomForestClassifier", forest)
+    with pytest.raises(Stop) as stopped:
+        QUERIES["forest_classifier"](spark, SF)
+    assert stopped.value.args == (350, 18, 2)
